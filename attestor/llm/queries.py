@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm.bpe_automaton import encode_documents
-from attestor.llm.common import table
+from attestor.llm.common import fold, table
 from attestor.llm.packing import pack_documents
+from attestor.llm.quality import score_documents, train
+from attestor.llm.sketch import compare_with_successors
 
 
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,24 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return compare_with_successors(table(spark, sf_dir, "documents"))
+
+
+#: Scores from here on keep a document.
+KEEP_SCORE = 0.7
+
+
+def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; rows whose fold is 2 are held out of the training."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    weights = train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    done = score_documents(docs.select("doc_id", "text"), weights)
+    score = F.col("quality_score")
+    return done.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
     done = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -27,6 +47,6 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_automaton, op7_packing)
+    f.__name__: f for f in (op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing)
 }
 ORACLES: dict[str, str] = {}
