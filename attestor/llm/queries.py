@@ -12,6 +12,7 @@ from attestor.llm.bpe_automaton import encode_documents
 from attestor.llm.common import fold, table
 from attestor.llm.packing import pack_documents
 from attestor.llm.quality import score_documents, train
+from attestor.llm.simhash import near_groups
 from attestor.llm.sketch import compare_with_successors
 
 
@@ -46,7 +47,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and near-duplicate component of every document."""
+    done = near_groups(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing)
+    f.__name__: f for f in (op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing, op9_simhash_vptree)
 }
 ORACLES: dict[str, str] = {}
