@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.llm import license_scan
 from attestor.llm.bpe_automaton import encode_documents
 from attestor.llm.common import fold, table
 from attestor.llm.packing import pack_documents
@@ -16,6 +17,11 @@ from attestor.llm.simhash import near_groups
 from attestor.llm.sketch import compare_with_successors
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and decoded text."""
     done = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -54,6 +60,6 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing, op9_simhash_vptree)
+    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing, op9_simhash_vptree)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
