@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import license_scan
+from attestor.llm.ann import nearest
 from attestor.llm.bpe_automaton import encode_documents
 from attestor.llm.common import fold, table
 from attestor.llm.packing import pack_documents
@@ -59,7 +60,12 @@ def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every row whose vec_id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing, op9_simhash_vptree)
+    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing, op9_simhash_vptree, op10_hilbert_ann)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
