@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, bound: int = TRAINING_ROWS)
     order = F.xxhash64("doc_id")
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & keep).select("doc_id", F.col("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(order, "doc_id", "y").limit(bound)  # at most `bound` rows: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * bound).collect()  # repeated ids are bounded too
     return fit((r["text"], r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or "", r["y"])))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import license_scan
+from attestor.llm import language, license_scan
 from attestor.llm.ann import nearest
 from attestor.llm.bpe_automaton import encode_documents
 from attestor.llm.common import fold, table
@@ -35,6 +35,14 @@ def op3_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_successors(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows whose fold is 0 are held out of the training."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    net = language.train(docs.select("doc_id", "text", "lang"), ~held_out)
+    done = language.predict_documents(docs.select("doc_id", "text"), net)
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 #: Scores from here on keep a document.
 KEEP_SCORE = 0.7
 
@@ -66,6 +74,6 @@ def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op6_quality_ftrl, op7_packing, op9_simhash_vptree, op10_hilbert_ann)
+    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op5_byte_bigru, op6_quality_ftrl, op7_packing, op9_simhash_vptree, op10_hilbert_ann)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
