@@ -16,6 +16,7 @@ from attestor.llm.packing import pack_documents
 from attestor.llm.quality import score_documents, train
 from attestor.llm.simhash import near_groups
 from attestor.llm.sketch import compare_with_successors
+from attestor.llm.suffix_dedup import find_repeats
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages take from every document."""
+    done = find_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and near-duplicate component of every document."""
     done = near_groups(table(spark, sf_dir, "documents"))
@@ -74,6 +81,6 @@ def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op5_byte_bigru, op6_quality_ftrl, op7_packing, op9_simhash_vptree, op10_hilbert_ann)
+    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op5_byte_bigru, op6_quality_ftrl, op7_packing, op8_suffix_array, op9_simhash_vptree, op10_hilbert_ann)
 }
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
