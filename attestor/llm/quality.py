@@ -141,21 +141,25 @@ def train(docs: DataFrame, labels: DataFrame, keep, bound: int = TRAINING_ROWS)
     return fit((r["text"], r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or "", r["y"])))
 
 
-def score_documents(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """docs with one more column ``quality_score`` (0 to 1).
-
-    Null and empty texts are scored by the bias. Without a model (no labelled row) every score is
-    1.0: nothing is known against any document. Repeated rows get equal scores; an empty table
-    gives an empty result; every column of docs is kept (one named quality_score is replaced).
-    """
-    spark = prepare(docs.sparkSession)
+def scorer(spark, weights: np.ndarray | None):
+    """A function from a text column to its score column; 1.0 everywhere without a model."""
     if weights is None:
-        return docs.withColumn("quality_score", F.lit(1.0))
-    shared = spark.sparkContext.broadcast(weights)
+        return lambda column: F.lit(1.0)
+    shared = prepare(spark).sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([score_text(shared.value, t) for t in batch], dtype="float64")
 
-    return docs.withColumn("quality_score", score("text"))
+    return score
+
+
+def score_documents(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """docs with one more column ``quality_score`` (0 to 1).
+
+    Null and empty texts are scored by the bias. Without a model (no labelled row) every score is
+    1.0: nothing is known against any document. Repeated rows get equal scores; an empty table
+    gives an empty result; every column of docs is kept (one named quality_score is replaced).
+    """
+    return docs.withColumn("quality_score", scorer(docs.sparkSession, weights)(docs["text"]))

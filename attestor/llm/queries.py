@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import language, license_scan
+from attestor.llm import language, license_scan, line_dedup
 from attestor.llm.ann import nearest
 from attestor.llm.bpe_automaton import encode_documents
 from attestor.llm.common import fold, table
@@ -36,6 +36,12 @@ def op3_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_successors(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses to earlier equal or nearly equal lines."""
+    done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_byte_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows whose fold is 0 are held out of the training."""
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
@@ -81,6 +87,6 @@ def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op5_byte_bigru, op6_quality_ftrl, op7_packing, op8_suffix_array, op9_simhash_vptree, op10_hilbert_ann)
+    f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op4_line_dedup, op5_byte_bigru, op6_quality_ftrl, op7_packing, op8_suffix_array, op9_simhash_vptree, op10_hilbert_ann)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_line_dedup": line_dedup.ORACLE}
