@@ -1,6 +1,91 @@
-STAGES = []
+"""The corpus pipeline: quality, repeated lines, near-duplicate documents, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of docs. Stages read docs twice or more and number its rows, so docs must be a table (Parquet).
+Extra columns are carried along; null texts stay null where a stage changes texts; empty tables give
+empty results.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestor.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from attestor.llm.common import fold, prepare, table
+
+#: Scores below go.
+KEEP_SCORE = 0.7
+_ROW = "__pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(*[docs[c] for c in docs.columns], F.monotonically_increasing_id().alias(_ROW))
+
+
+def _with_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """docs with new texts and their lengths; kept: (row, new_text)."""
+    kept = kept.withColumnRenamed("row", _ROW)
+    rest = _numbered(docs).withColumn("__pipeline_null", F.col("text").isNull()).drop("text")
+    joined = rest.join(kept, _ROW).withColumn("text", F.when(~F.col("__pipeline_null"), F.col("__pipeline_text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        joined = joined.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return joined.select(*[joined[c] for c in docs.columns])
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (trained as in query op6)."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return docs.where(quality.scorer(spark, weights)(docs["text"]) >= KEEP_SCORE)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without lines that stand, equal or nearly so, in an earlier place."""
+    done = line_dedup.drop_repeated_lines(docs)
+    return _with_texts(docs, done.select(F.col("uid").alias("row"), F.col("kept").alias("__pipeline_text")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the smallest id (null ids last, then by row)."""
+    rows = _numbered(docs)
+    groups = simhash.near_groups(rows, id_column=_ROW)
+    ids = rows.select(_ROW, F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(_ROW).alias("row")).alias("first"))
+    first = groups.select(_ROW, "component_id").join(ids, _ROW).groupBy("component_id").agg(F.min("first").alias("first"))
+    chosen = first.select(F.col("first.row").alias(_ROW))
+    return rows.join(chosen, _ROW, "left_semi").select(*[rows[c] for c in docs.columns])
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without passages that also stand in an earlier place (whole characters only)."""
+    done = suffix_dedup.find_repeats(docs, whole_characters=True)
+    return _with_texts(docs, done.select(F.col("rid").alias("row"), F.col("kept").cast("string").alias("__pipeline_text")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows, with their token ids."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", good_documents),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", one_of_each_group),
+    ("suffix_dedup", without_repeated_passages),
+    ("packing", packed),
+]
+#: SQL cannot express the classifier, the fingerprints and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared checkpoint folder and read again."""
+    prepare(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs
