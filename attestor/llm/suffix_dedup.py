@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,8 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, fragment hash, first window, number of windows) of all runs of windows of one text."""
+def anchors(data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(anchor hash, fragment hash, first window, number of windows, bytes before the anchor) of all runs of windows of one text."""
     count = len(data) - window + 1
     parts = []
     for at in range(0, count, _CHUNK):
@@ -78,15 +79,34 @@ def anchors(data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
         first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
         n = np.diff(np.concatenate((first, [len(where)])))
         anchor, length = where[first], n + window - 1
-        h = grams[anchor] * _MULTIPLY[5]
-        f = (length.astype(np.uint64) << np.uint64(16)) + (anchor - first).astype(np.uint64)
+        h, before = grams[anchor] * _MULTIPLY[5], anchor - first
+        f = (length.astype(np.uint64) << np.uint64(16)) + before.astype(np.uint64)
         # 64-byte strings at the start, in the middle and at the end cover a fragment of < 3 * 64 bytes
         for k, to in enumerate((first, first + (length - 2 * _GRAM) // 2, first + length - 2 * _GRAM)):
             f = _join(f, _join(grams[to], grams[to + _GRAM], 5) * _MULTIPLY[6], k)
-        parts.append((h ^ h >> np.uint64(32), f, first + at, n))
+        parts.append((h ^ h >> np.uint64(32), f, first + at, n, before))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _sort_directly(text: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` bytes: by four bytes first, then part by part, so that few strings are spelled out at once."""
+    padded = np.concatenate([text, np.zeros(depth + 4, dtype=np.uint8)])
+    strings = np.lib.stride_tricks.as_strided(padded, shape=(len(text), depth), strides=(1, 1))
+    four = np.zeros(len(suffixes), dtype=np.uint32)
+    for k in range(4):
+        four = four << np.uint32(8) | padded[suffixes + k]
+    by = np.argsort(four, kind="stable")
+    suffixes, four = suffixes[by], four[by]
+    cuts = np.concatenate((np.flatnonzero(four[1:] != four[:-1]) + 1, [len(four)]))
+    at = 0
+    while at < len(four):
+        to = cuts[max(np.searchsorted(cuts, at + 100_000, side="right") - 1, np.searchsorted(cuts, at, side="right"))]
+        part = suffixes[at:to]
+        suffixes[at:to] = part[np.argsort(np.ascontiguousarray(strings[part]).view(f"S{depth}").ravel(), kind="stable")]
+        at = to
+    return suffixes
+
+
 def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of a byte string (which ends in the byte 0), right to ``depth`` bytes, by two-stage sorting."""
     n = len(text)
@@ -97,10 +117,7 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     at = np.where(step != 0, np.arange(n), n)
     rises = step[np.minimum.accumulate(at[::-1])[::-1]] > 0
     # stage one: suffixes smaller than their successors, sorted directly
-    padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])
-    strings = np.lib.stride_tricks.as_strided(padded, shape=(n, depth), strides=(1, 1))
-    small = np.flatnonzero(rises)
-    small = small[np.argsort(np.ascontiguousarray(strings[small]).view(f"S{depth}").ravel(), kind="stable")]
+    small = _sort_directly(text, np.flatnonzero(rises).astype(np.int32), depth)
     starts = np.searchsorted(t[small], np.arange(257))
     # stage two: one scan over the buckets of first bytes puts each other suffix behind its successor
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -112,7 +129,7 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
             before = induced[-1][induced[-1] > 0] - 1
             induced.append(before[(t[before] == c) & ~rises[before]])
         bucket = np.concatenate([*induced, small[starts[c] : starts[c + 1]]])
-        out.append(bucket)
+        out.append(bucket.astype(np.int32))
         before = bucket[bucket > 0] - 1
         before = before[t[before] > c]
         if len(before):
@@ -121,7 +138,7 @@ def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
             cuts = np.flatnonzero(np.diff(t[before])) + 1
             for group in np.split(before, cuts):
                 waiting[t[group[0]]].append(group)
-    return np.concatenate(out).astype(np.int64)
+    return np.concatenate(out)
 
 
 def common_prefixes(text: np.ndarray, suffixes: np.ndarray, most: int) -> np.ndarray:
@@ -142,7 +159,7 @@ def repeated_windows(fragments: list[bytes], order: np.ndarray, window: int = WI
     # 0 parts the fragments; a text's own zero bytes become 255, which no UTF-8 text holds
     text = np.frombuffer(b"\0".join(f.replace(b"\0", b"\xff") for f in fragments) + b"\0", dtype=np.uint8)
     begin = np.cumsum(lengths + 1) - lengths - 1
-    owner = np.repeat(np.arange(len(fragments)), lengths + 1)
+    owner = np.repeat(np.arange(len(fragments), dtype=np.int32), lengths + 1)
     suffixes = sort_suffixes(text, window)
     suffixes = suffixes[suffixes - begin[owner[suffixes]] <= lengths[owner[suffixes]] - window]
     if not len(suffixes):
@@ -167,10 +184,14 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 _LAST = np.iinfo(np.int64).max
-_ROW = "kind int, at int, rid binary, doc binary, h binary, f binary, start binary, n binary"
-_NAMES = ["kind", "at", "rid", "doc", "h", "f", "start", "n"]
-_TYPES = {"rid": np.int64, "doc": np.int64, "h": np.uint64, "f": np.uint64, "start": np.uint32, "n": np.uint8}
+_ROW = "kind int, at int, rid binary, doc binary, h binary, f binary, start binary, n binary, before binary"
+_NAMES = ["kind", "at", "rid", "doc", "h", "f", "start", "n", "before"]
+_TYPES = {"rid": np.int64, "doc": np.int64, "h": np.uint64, "f": np.uint64, "start": np.uint32, "n": np.uint8, "before": np.uint8}
 _ANCHORS, _SPANS, _WANTED = 0, 1, 2
+#: Anchors with more different fragments than this are told apart further, and how that is marked (in n).
+HOT_ANCHOR, _HOT = 256, 128
+#: Windows, by their distance from the anchor, that are then kept together.
+_STRIP = 23
 
 
 def _slice_of(rid: np.ndarray, slices: int) -> np.ndarray:
@@ -208,10 +229,10 @@ def _find_anchors(buckets: int, slices: int, window: int):
     """Step 1, and step 2 within the task."""
 
     def flush(held: list[tuple]) -> pd.DataFrame:
-        rid, doc, h, f, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        rid, doc, h, f, start, n, before = (np.concatenate(x) for x in zip(*held, strict=True))
         by, first = _earliest(h, f, doc, rid, start)
         keep, drop = np.sort(by[first]), by[~first]  # documents' numbers in runs, for the shuffle's compression
-        rows = list(_rows(_ANCHORS, (h[keep] % np.uint64(buckets)).astype(np.int64), rid=rid[keep], doc=doc[keep], h=h[keep], f=f[keep], start=start[keep], n=n[keep]))
+        rows = list(_rows(_ANCHORS, (h[keep] % np.uint64(buckets)).astype(np.int64), rid=rid[keep], doc=doc[keep], h=h[keep], f=f[keep], start=start[keep], n=n[keep], before=before[keep]))
         # spans ride along in any bucket
         if len(drop):
             rows += [(kind, at % buckets, *rest) for kind, at, *rest in _rows(_SPANS, _slice_of(rid[drop], slices), rid=rid[drop], start=start[drop], n=n[drop])]
@@ -223,8 +244,9 @@ def _find_anchors(buckets: int, slices: int, window: int):
             for rid, doc, text in zip(batch["rid"], batch["doc"], batch["text"], strict=True):
                 data = np.frombuffer(text, dtype=np.uint8)
                 if len(data) >= window:
-                    h, f, start, n = anchors(data, window)
-                    held.append((np.full(len(h), rid), np.full(len(h), doc), h, f, start, n))
+                    found = anchors(data, window)
+                    h = found[0]
+                    held.append((np.full(len(h), rid), np.full(len(h), doc), *found))
                     size += len(h)
                 if size >= _FLUSH:
                     yield flush(held)
@@ -246,51 +268,103 @@ def _merge_copies(slices: int):
             out += _rows(_SPANS, _slice_of(rid, slices), rid=rid, start=start, n=n)
         found = frame[frame["kind"] == _ANCHORS]
         if len(found):
-            rid, doc, h, f, start, n = _unpack(found, "rid", "doc", "h", "f", "start", "n")
+            rid, doc, h, f, start, n, before = _unpack(found, "rid", "doc", "h", "f", "start", "n", "before")
             by, first = _earliest(h, f, doc, rid, start)
             keep, drop = by[first], by[~first]
             out += _rows(_SPANS, _slice_of(rid[drop], slices), rid=rid[drop], start=start[drop], n=n[drop])
-            same = h[keep][1:] == h[keep][:-1]
-            several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            keep = keep[several]
-            out += _rows(_WANTED, _slice_of(rid[keep], slices), rid=rid[keep], doc=doc[keep], h=h[keep], start=start[keep], n=n[keep])
+            _, which, count = np.unique(h[keep], return_inverse=True, return_counts=True)
+            count = count[which]
+            n = n + _HOT * np.isin(np.arange(len(n)), keep[count > HOT_ANCHOR])
+            keep = keep[count > 1]
+            out += _rows(_WANTED, _slice_of(rid[keep], slices), rid=rid[keep], doc=doc[keep], h=h[keep], start=start[keep], n=n[keep], before=before[keep])
         return pd.DataFrame(out, columns=_NAMES)
 
     return run
 
 
+def _strips(start: int, n: int, before: int) -> Iterator[tuple[int, int, int]]:
+    """(first window, windows, strip) for each strip of a run: windows that begin about as far before the anchor."""
+    for strip in range((before - n + 1) // _STRIP, before // _STRIP + 1):
+        low, high = max(before - (strip + 1) * _STRIP + 1, 0), min(before - strip * _STRIP, n - 1)
+        if low <= high:
+            yield start + low, high - low + 1, strip
+
+
 def _fetch(buckets: int, window: int):
-    """Texts of the wanted fragments of a slice of documents."""
+    """Texts of the wanted fragments of a slice of documents.
+
+    A short common phrase can be the anchor of a different fragment in each of very many documents.
+    The fragments of such an anchor are cut into strips, which meet by all the bytes that the strip's
+    windows share (78 at least) in place of the anchor's 32; most of them then meet nothing.
+    """
 
     def run(wanted: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(wanted):
             texts = dict(zip(docs["rid"], docs["text"], strict=True))
-            for rid, doc, h, start, n in zip(*(x.tolist() for x in _unpack(wanted, "rid", "doc", "h", "start", "n")), strict=True):
-                rows.append((h % buckets, rid, doc, start, texts[rid][start : start + n + window - 1]))
-        return pd.DataFrame(rows, columns=["at", "rid", "doc", "start", "bytes"])
+            columns = _unpack(wanted, "rid", "doc", "h", "start", "n", "before")
+            for rid, doc, h, start, n, before in zip(*(x.tolist() for x in columns), strict=True):
+                text = texts[rid]
+                if n < _HOT:
+                    rows.append((h % buckets, rid, doc, start, h - (1 << 63), text[start : start + n + window - 1]))
+                    continue
+                anchor = start + before
+                for first, count, strip in _strips(start, n - _HOT, before):
+                    shared = text[anchor - strip * _STRIP : anchor - (strip + 1) * _STRIP + 1 + window]
+                    key = xxhash.xxh64_intdigest(shared, strip)
+                    rows.append((key % buckets, rid, doc, first, key - (1 << 63), text[first : first + count + window - 1]))
+        return pd.DataFrame(rows, columns=["at", "rid", "doc", "start", "key", "bytes"])
 
     return run
 
 
+#: Bytes of fragments that one suffix array is built over (more only where one anchor has more).
+_ARRAY = 2_000_000
+
+
 def _compare(slices: int, window: int):
     """Step 3 for one bucket of anchors."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        order = frame[["doc", "rid", "start"]].to_numpy(dtype=np.int64)
-        later = repeated_windows(frame["bytes"].tolist(), order, window)
-        if not len(later):
+        keys, order = frame["key"].to_numpy(), frame[["doc", "rid", "start"]].to_numpy(dtype=np.int64)
+        fragments = frame["bytes"].to_numpy()
+        by = np.lexsort((order[:, 2], order[:, 1], order[:, 0], keys))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys[by])) + 1, [len(by)]))
+        spans, batch, size = [], [], 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first: dict[bytes, int] = {}
+            for i in by[a:b].tolist() if b - a > 1 else ():
+                if first.setdefault(fragments[i], i) != i:  # a copy of an earlier fragment
+                    spans.append((i, 0, len(fragments[i]) - window + 1))
+            if len(first) > 1:
+                batch += first.values()
+                size += sum(map(len, first))
+            if size >= _ARRAY:
+                spans += _later_runs(fragments, order, np.array(batch), window)
+                batch, size = [], 0
+        if batch:
+            spans += _later_runs(fragments, order, np.array(batch), window)
+        if not spans:
             return pd.DataFrame([], columns=_NAMES)
-        by = np.lexsort((later[:, 1], later[:, 0]))
-        f, w = later[by].T
-        first = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (w[1:] != w[:-1] + 1))))
-        n = np.diff(np.concatenate((first, [len(f)])))
-        rid, start = order[f[first], 1], order[f[first], 2] + w[first]
-        return pd.DataFrame(list(_rows(_SPANS, _slice_of(rid, slices), rid=rid, start=start, n=n)), columns=_NAMES)
+        i, w, n = np.array(spans, dtype=np.int64).T
+        rid = order[i, 1]
+        return pd.DataFrame(list(_rows(_SPANS, _slice_of(rid, slices), rid=rid, start=order[i, 2] + w, n=n)), columns=_NAMES)
 
     return run
 
 
+def _later_runs(fragments: np.ndarray, order: np.ndarray, rows: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """(row, first window, windows) of the runs of windows that occur earlier in the given fragments."""
+    later = repeated_windows(fragments[rows].tolist(), order[rows], window)
+    if not len(later):
+        return []
+    later = later[np.lexsort((later[:, 1], later[:, 0]))]
+    f, w = later.T
+    first = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (w[1:] != w[:-1] + 1))))
+    n = np.diff(np.concatenate((first, [len(f)])))
+    return list(zip(rows[f[first]].tolist(), w[first].tolist(), n.tolist(), strict=True))
+
+
 def _whole(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans shrunk to whole UTF-8 characters."""
     out = []
@@ -356,7 +430,7 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = docs.schema[id_column].dataType.simpleString()
     sliced = rows.select(_slice_column(slices).alias("at"), "rid", "id", "text").groupBy("at")
     wanted = merged.where(F.col("kind") == _WANTED).groupBy("at")
-    fragments = wanted.cogroup(sliced).applyInPandas(_fetch(buckets, window), "at int, rid long, doc long, start long, bytes binary")
+    fragments = wanted.cogroup(sliced).applyInPandas(_fetch(buckets, window), "at int, rid long, doc long, start long, key long, bytes binary")
     compared = fragments.groupBy("at").applyInPandas(_compare(slices, window), _ROW)
     spans = merged.where(F.col("kind") == _SPANS).unionByName(compared).groupBy("at")
     done = spans.cogroup(sliced).applyInPandas(_assemble(window, whole_characters), f"rid long, id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
