@@ -44,13 +44,11 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 
 def _halves() -> Column:
-    """Hashes of the first and last halves that an edit may leave whole (for partners of any length)."""
-    keys = []
-    for less in (1, 2):
-        m = F.floor((F.col("n") - less) / 2).cast("int")
-        part = lambda count: F.call_function("substring_index", F.col("line"), F.lit(" "), count)
-        keys += [F.xxhash64(F.lit(0), m, part(m)), F.xxhash64(F.lit(1), m, part(-m))]
-    return F.array_distinct(F.array(*keys))
+    """Hashes of the first and last halves that an edit may leave whole (for partners of any length); some may be null."""
+    part = lambda count: F.call_function("substring_index", F.col("line"), F.lit(" "), count)
+    both = lambda m: (F.xxhash64(F.lit(0), m, part(m)), F.xxhash64(F.lit(1), m, part(-m)))
+    more, less = F.shiftright(F.col("n") - 1, 1), F.shiftright(F.col("n") - 2, 1)
+    return F.array(*both(more), *[F.when(more != less, key) for key in both(less)])
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
@@ -89,7 +87,7 @@ def _one_edit(a: str, b: str) -> Column:
 
 def _near(rows: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
     """(uid, pos) of the first copies of lines that have an earlier line one edit away."""
-    keys = _hashed(_lines(rows, min_words)).select("h1", F.explode(_halves()).alias("half"))
+    keys = distinct.select("h1", F.explode("halves").alias("half")).where("half IS NOT NULL")
     shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
     chosen = keys.join(shared, "half", "left_semi").select("h1").distinct()
     places = distinct.join(chosen, "h1", "left_semi").select("first.uid", "first.pos")
@@ -125,8 +123,10 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), docs[id_column].alias("id"), F.coalesce(docs[id_column].cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(docs[text_column], F.lit("")).alias("text"),
     )
-    lines = _hashed(_lines(rows, min_words)).select("h1", "h2", *_AT)
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"))
+    lines = _hashed(_lines(rows, min_words))
+    with_halves = lines.select("h1", "h2", *_AT, _halves().alias("halves"))
+    distinct = with_halves.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")).checkpoint()
+    lines = lines.select("h1", "h2", *_AT)
     near = _near(rows, distinct, min_words)
     repeated = distinct.where("copies > 1").select("h1", "h2", "first")
     later = lines.join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos")
