@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.llm.bitset import bitset, only_possible, with_test
 from attestor.llm.common import prepare
 
 MIN_WORDS = 5
@@ -85,15 +86,19 @@ def _one_edit(a: str, b: str) -> Column:
     return F.transform(pair, test)[0]
 
 
-def _near(rows: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+def _semi(rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
+    """Left semi join; rows without a partner are mostly left out before the shuffle."""
+    key = F.xxhash64(*columns)
+    return only_possible(rows, key, bitset(other, key)).join(other, list(columns), "left_semi")
+
+
+def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int) -> DataFrame:
     """(uid, pos) of the first copies of lines that have an earlier line one edit away."""
-    keys = distinct.select("h1", F.explode("halves").alias("half")).where("half IS NOT NULL")
-    shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    chosen = keys.join(shared, "half", "left_semi").select("h1").distinct()
-    places = distinct.join(chosen, "h1", "left_semi").select("first.uid", "first.pos")
-    places = places.groupBy("uid").agg(F.collect_list("pos").alias("wanted"))  # no more than a document's lines
-    texts = rows.join(places, "uid")
-    candidates = _lines(texts, min_words, "wanted").where(F.array_contains("wanted", F.col("pos"))).select(*_AT, "n", "line").checkpoint()
+    keys = lines.select("h1", F.explode("halves").alias("half")).where("half IS NOT NULL")
+    shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half").checkpoint()
+    chosen = _semi(keys, shared, "half").select("h1").distinct().checkpoint()
+    places = _semi(lines.select("h1", "uid", "pos"), chosen, "h1").join(later, ["uid", "pos"], "left_anti").select("uid", "pos").checkpoint()
+    candidates = _semi(_lines(rows, min_words), places, "uid", "pos").select(*_AT, "n", "line").checkpoint()
 
     variants = _variants(candidates)
     one = F.xxhash64("uid", "pos")
@@ -123,15 +128,14 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), docs[id_column].alias("id"), F.coalesce(docs[id_column].cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(docs[text_column], F.lit("")).alias("text"),
     )
-    lines = _hashed(_lines(rows, min_words))
-    with_halves = lines.select("h1", "h2", *_AT, _halves().alias("halves"))
-    distinct = with_halves.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves")).checkpoint()
-    lines = lines.select("h1", "h2", *_AT)
-    near = _near(rows, distinct, min_words)
+    lines = _hashed(_lines(rows, min_words)).select("h1", "h2", *_AT, _halves().alias("halves")).checkpoint()
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"))
     repeated = distinct.where("copies > 1").select("h1", "h2", "first")
-    later = lines.join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos")
-    dropped = later.unionByName(near).groupBy("uid").agg(F.collect_list("pos").alias("gone"))
-    done = rows.join(dropped, "uid", "left")
+    later = lines.select("h1", "h2", "uid", "pos").join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos").checkpoint()
+    near = _near(rows, lines, later, min_words)
+    dropped = later.unionByName(near).groupBy("uid").agg(F.collect_list("pos").alias("gone")).checkpoint()  # no more than a document's lines
+    tested = with_test(rows, F.xxhash64("uid"), bitset(dropped, F.xxhash64("uid")), "some").select("uid", "id", "text", "some")
+    done = tested.where("some").join(dropped, "uid", "left").unionByName(tested.where("NOT some").withColumn("gone", F.lit(None).cast("array<int>"))).drop("some")
     parts = F.split("text", "\n")
     stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))
     kept = F.transform(F.array(parts), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n"))[0]
