@@ -45,6 +45,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() of a result that is small beside its input, in an eighth as many files as shuffles have partitions."""
+    return df.coalesce(max(1, partitions(df.sparkSession) // 8)).checkpoint()
+
+
 def fold(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo modulus (null ids: fold of the empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

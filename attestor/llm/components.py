@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.common import cut
+
 
 def _smallest(links: DataFrame) -> DataFrame:
     """u -> the smallest of u and its neighbours (map-side combined, so hot vertices are no matter)."""
@@ -19,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     round is a combined minimum and an equi-join (which adaptive execution splits where a vertex is
     hot), written by checkpoint(); only a count and a sum of hashes of the links visit the driver.
     """
-    links = links.where("u <> v").distinct().checkpoint()
+    links = cut(links.where("u <> v").distinct())
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         joined = down.join(_smallest(down), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        links = small.where("u <> v").distinct().checkpoint()
+        links = cut(small.where("u <> v").distinct())
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.bitset import bitset, only_possible, with_test
-from attestor.llm.common import prepare
+from attestor.llm.common import cut, prepare
 
 MIN_WORDS = 5
 _MASK = (1 << 40) - 1  # sums of 2^23 words fit in a long
@@ -95,15 +95,15 @@ def _semi(rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
 def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int) -> DataFrame:
     """(uid, pos) of the first copies of lines that have an earlier line one edit away."""
     keys = lines.select("h1", F.explode("halves").alias("half")).where("half IS NOT NULL")
-    shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half").checkpoint()
-    chosen = _semi(keys, shared, "half").select("h1").distinct().checkpoint()
-    places = _semi(lines.select("h1", "uid", "pos"), chosen, "h1").join(later, ["uid", "pos"], "left_anti").select("uid", "pos").checkpoint()
-    candidates = _semi(_lines(rows, min_words), places, "uid", "pos").select(*_AT, "n", "line").checkpoint()
+    shared = cut(keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"))
+    chosen = cut(_semi(keys, shared, "half").select("h1").distinct())
+    places = cut(_semi(lines.select("h1", "uid", "pos"), chosen, "h1").join(later, ["uid", "pos"], "left_anti").select("uid", "pos"))
+    candidates = cut(_semi(_lines(rows, min_words), places, "uid", "pos").select(*_AT, "n", "line"))
 
     variants = _variants(candidates)
     one = F.xxhash64("uid", "pos")
     several = variants.groupBy(*_KEY).agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select(*_KEY)
-    met = variants.join(several, _KEY).withColumn("at", F.struct(*_AT)).checkpoint()
+    met = cut(variants.join(several, _KEY).withColumn("at", F.struct(*_AT)))
     deleted, whole = met.where("gone >= 0"), met.where("gone < 0")
     same_place = deleted.groupBy(*_KEY, "gone").agg(F.min("at").alias("by"))
     any_place = deleted.groupBy(*_KEY).agg(F.min("at").alias("by"))
@@ -130,10 +130,10 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
     lines = _hashed(_lines(rows, min_words)).select("h1", "h2", *_AT, _halves().alias("halves")).checkpoint()
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"))
-    repeated = distinct.where("copies > 1").select("h1", "h2", "first")
-    later = lines.select("h1", "h2", "uid", "pos").join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos").checkpoint()
+    repeated = cut(distinct.where("copies > 1").select("h1", "h2", "first"))  # joined afresh, so that a hot line's rows can be split
+    later = cut(lines.select("h1", "h2", "uid", "pos").join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos"))
     near = _near(rows, lines, later, min_words)
-    dropped = later.unionByName(near).groupBy("uid").agg(F.collect_list("pos").alias("gone")).checkpoint()  # no more than a document's lines
+    dropped = cut(later.unionByName(near).groupBy("uid").agg(F.collect_list("pos").alias("gone")))  # no more than a document's lines
     tested = with_test(rows, F.xxhash64("uid"), bitset(dropped, F.xxhash64("uid")), "some").select("uid", "id", "text", "some")
     done = tested.where("some").join(dropped, "uid", "left").unionByName(tested.where("NOT some").withColumn("gone", F.lit(None).cast("array<int>"))).drop("some")
     parts = F.split("text", "\n")
