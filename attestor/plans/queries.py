@@ -88,8 +88,7 @@ o AS (SELECT sha256, NOT (sha256 IN (SELECT v FROM vx)) OR list_contains((SELECT
 
 @query(f"{_GREEDY} SELECT sha256, kept FROM o")
 def dd3_greedy_near_dedupe(spark, d):
-    rows = t.unique_assets(spark, d)
-    return dedupe.greedy_keep(rows, dedupe.near_edges(rows, dedupe.same_label_other_scene))
+    return dedupe.near_dedupe(t.unique_assets(spark, d))
 
 
 @query(f"""{_GREEDY}, {_FATE_SQL.replace('c AS', 'fc AS').replace('JOIN c', 'JOIN fc')}

@@ -29,7 +29,7 @@ def random_assets(n, seed=7):
         else:
             h = rng.getrandbits(64)
         hashes.append(h)
-        out.append((f"{rng.getrandbits(256):064x}", rng.choice(["authentic", "manipulated"]), f"s{rng.randrange(n // 3)}", f"{h:016x}", f"p{rng.randrange(10**6)}", rng.choice(["none", "copy_move", "ai_generated"])))
+        out.append((f"{rng.getrandbits(256):064x}", rng.choice(["authentic", "manipulated"]), f"s{rng.randrange(n // 3)}", f"{hashes[rng.randrange(len(hashes))] if rng.random() < 0.1 else h:016x}", f"p{rng.randrange(10**6)}", rng.choice(["none", "copy_move", "ai_generated"])))
     return out
 
 
@@ -59,6 +59,7 @@ def test_near_dedupe_and_clusters_equal_plain_loops(spark):
             kept.append(r)
     got = {r["sha256"] for r in dedupe.greedy_keep(frame, dedupe.near_edges(frame, dedupe.same_label_other_scene)).where("kept").collect()}
     assert got == {k[0] for k in kept}
+    assert {r["sha256"] for r in dedupe.near_dedupe(frame).where("kept").collect()} == got
 
     group = {r[0]: r[0] for r in rows}
     while True:
