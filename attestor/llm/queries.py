@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import language, license_scan, line_dedup
+from attestor.llm import language, license_scan, line_dedup, suffix_dedup
 from attestor.llm.ann import nearest
 from attestor.llm.bpe_automaton import encode_documents
 from attestor.llm.common import fold, table
@@ -16,7 +16,6 @@ from attestor.llm.packing import pack_documents
 from attestor.llm.quality import score_documents, train
 from attestor.llm.simhash import near_groups
 from attestor.llm.sketch import compare_with_successors
-from attestor.llm.suffix_dedup import find_repeats
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +70,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated passages take from every document."""
-    done = find_repeats(table(spark, sf_dir, "documents"))
+    done = suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -89,4 +88,4 @@ def op10_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_bpe_automaton, op3_threshold_sketch, op4_line_dedup, op5_byte_bigru, op6_quality_ftrl, op7_packing, op8_suffix_array, op9_simhash_vptree, op10_hilbert_ann)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op4_line_dedup": line_dedup.ORACLE, "op8_suffix_array": suffix_dedup.ORACLE}

@@ -435,3 +435,20 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     spans = merged.where(F.col("kind") == _SPANS).unionByName(compared).groupBy("at")
     done = spans.cogroup(sliced).applyInPandas(_assemble(window, whole_characters), f"rid long, id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
     return done.withColumnRenamed("id", id_column)
+
+
+#: DuckDB SQL for the query over find_repeats(): every window as a string of bytes.
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, s, b[s + 1:s + 100] AS w FROM (SELECT doc_id, b, unnest(range(n - 99)) AS s FROM n WHERE n >= 100)),
+f AS (SELECT w, min((doc_id, s)) AS first FROM w GROUP BY w),
+l AS (SELECT doc_id, s FROM w JOIN f USING (w) WHERE (doc_id, s) <> first),
+g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM l),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+r AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS e FROM i GROUP BY ALL),
+k AS (SELECT doc_id, run, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY run), 0) AS p FROM r),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, max(e) AS last, list(b[p + 1:a] ORDER BY run) AS pieces FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN last IS NULL THEN sha256(b) ELSE sha256(list_reduce(list_append(pieces, b[last + 1:]), lambda x, y: x || y)) END AS kept_sha256
+FROM n LEFT JOIN c USING (doc_id)"""
