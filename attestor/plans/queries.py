@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from attestor.functions import scalars as fn
 from attestor.operators import calibration, curves, dedupe, features, kernels, metrics, prompt, splits, temporal, verdicts
@@ -508,3 +511,117 @@ def w12_stratified_sample(spark, d):
     """At most 300 of each source and label, in seeded order: the limit is the operator."""
     rank = F.row_number().over(Window.partitionBy("source", "label").orderBy(fn.order_key(11, F.col("doc_id")), "doc_id"))
     return t.assets(spark, d).withColumn("n", rank).where("n <= 300").select("doc_id", "source", "label")
+
+
+# Single functions and small operators
+
+
+@query(f"WITH {A}, {H}, {U} SELECT m AS a, sha256 AS b FROM u JOIN (SELECT scene, min(sha256) AS m FROM u GROUP BY scene) USING (scene) WHERE m <> sha256")
+def j12_scene_edges(spark, d):
+    return dedupe.scene_edges(t.unique_assets(spark, d))
+
+
+@query("SELECT doc_id, ('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 2147483648 * 4294967296 + ('0x' || md5(doc_id::VARCHAR)[9:16])::BIGINT AS h FROM documents")
+def f7_hex_to_long(spark, d):
+    """The low 63 bits of a 64-bit hash in hexadecimal."""
+    value = fn.hex_to_long(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16))
+    return t.table(spark, d, "documents").select("doc_id", value.bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
+
+
+@query(f"WITH {A}, {H}, {U}, r AS (SELECT sha256, h, lead(h) OVER (ORDER BY doc_id) AS n FROM u) SELECT sha256, bit_count(xor(h, n))::INTEGER AS bits FROM r WHERE n IS NOT NULL")
+def f6_hamming(spark, d):
+    """Distance of each asset's hash to the next asset's."""
+    from attestor.operators.ranking import global_row_number
+
+    rows = global_row_number(t.unique_assets(spark, d), "doc_id").select("sha256", "rn", fn.hex_to_long(F.col("phash")).alias("h"))
+    following = rows.select((F.col("rn") - 1).alias("rn"), F.col("h").alias("n"))
+    return rows.join(following, "rn").select("sha256", fn.hamming(F.col("h"), F.col("n")).alias("bits"))
+
+
+@query("SELECT vec_id, round(least((abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE) * 1000) % 360, 360 - (abs(embedding[1]::DOUBLE - embedding[2]::DOUBLE) * 1000) % 360), 6) AS degrees FROM embeddings WHERE len(embedding) >= 2")
+def f23_angular_distance(spark, d):
+    rows = t.table(spark, d, "embeddings").where(F.size("embedding") >= 2)
+    a, b = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    return rows.select("vec_id", F.round(fn.angular_distance(F.abs(a - b) * 1000, F.lit(0.0)), 6).alias("degrees"))
+
+
+@query("SELECT doc_id, list_transform(range(4), lambda i: round(i * n_chars / 3)::INTEGER)::VARCHAR AS edges FROM documents")
+def f21_region_edges(spark, d):
+    edges = fn.region_edges(F.col("n_chars")).cast("array<string>")
+    return t.table(spark, d, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(edges, ", "), F.lit("]")).alias("edges"))
+
+
+@query(f"WITH {C_SQL}, x AS (SELECT sha256, y, x, v - lag(v) OVER (PARTITION BY sha256, y ORDER BY x) AS d FROM c) SELECT sha256, x::INTEGER AS x, round(avg(abs(d)), 6) AS mean FROM x WHERE d IS NOT NULL GROUP BY sha256, x")
+def w8_column_differences(spark, d):
+    """Mean absolute first difference at each column."""
+    rows = t.images(spark, d).select("sha256", F.posexplode("pixels").alias("i", "v")).select("sha256", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), (F.col("v") / 255.0).alias("v"))
+    step = F.col("v") - F.lag("v").over(Window.partitionBy("sha256", "y").orderBy("x"))
+    return rows.withColumn("d", step).where("d IS NOT NULL").groupBy("sha256", "x").agg(_round(F.avg(F.abs("d")), "mean"))
+
+
+@query(f"""WITH {C_SQL}, g AS (SELECT sha256, {_CELLS_R} AS region, avg(v) AS m FROM c GROUP BY ALL)
+SELECT a.sha256, a.region AS a, b.region AS b, round(abs(a.m - b.m), 6) AS gap FROM g a JOIN g b ON a.sha256 = b.sha256 AND a.region < b.region""")
+def j9_region_pairs(spark, d):
+    """Every unordered pair of an image's nine regions."""
+    return _region_means(spark, d, "r").alias("a").join(_region_means(spark, d, "r").alias("b"), "sha256").where("a.region < b.region").select("sha256", F.col("a.region").alias("a"), F.col("b.region").alias("b"), F.round(F.abs(F.col("a.m") - F.col("b.m")), 6).alias("gap"))
+
+
+def _region_means(spark, d, prefix):
+    rows = t.images(spark, d).select("sha256", F.posexplode("pixels").alias("i", "v"))
+    box = lambda c: F.when(c < 3, "0").when(c < 5, "1").otherwise("2")
+    region = F.concat(F.lit(prefix), box(F.floor(F.col("i") / 8)), F.lit("c"), box(F.col("i") % 8))
+    return rows.groupBy("sha256", region.alias("region")).agg(F.avg(F.col("v") / 255.0).alias("m"))
+
+
+@query(f"""WITH {C_SQL}, g AS (SELECT sha256, {_CELLS_R} AS region, avg(v) AS m FROM c GROUP BY ALL),
+o AS (SELECT a.sha256, a.region, any_value(a.m) AS m, median(b.m) AS mo FROM g a JOIN g b ON a.sha256 = b.sha256 AND a.region <> b.region GROUP BY a.sha256, a.region)
+SELECT sha256, round(stddev_pop(m), 6) AS spread, round(max(m) - min(m), 6) AS range, round(max(abs(m - mo)), 6) AS mismatch FROM o GROUP BY sha256""")
+def a18_region_reducers(spark, d):
+    """Spread, range and the largest distance from the median of the other regions."""
+    g = _region_means(spark, d, "r")
+    others = g.select("sha256", F.col("region").alias("other"), F.col("m").alias("n"))
+    o = g.join(others, "sha256").where("region <> other").groupBy("sha256", "region").agg(F.first("m").alias("m"), F.median("n").alias("mo"))
+    return o.groupBy("sha256").agg(_round(F.stddev_pop("m"), "spread"), _round(F.max("m") - F.min("m"), "range"), _round(F.max(F.abs(F.col("m") - F.col("mo"))), "mismatch"))
+
+
+@query(f"""WITH {C_SQL}, n AS (SELECT p.sha256, p.y, p.x, sum(q.v) - 4 * any_value(p.v) AS l FROM c p
+JOIN (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) s(dy, dx)) ON true JOIN c q ON q.sha256 = p.sha256 AND q.y = greatest(0, least(7, p.y + dy)) AND q.x = greatest(0, least(7, p.x + dx)) GROUP BY p.sha256, p.y, p.x)
+SELECT sha256, round(avg(abs(l)), 6) AS energy FROM n GROUP BY sha256""")
+def k5_laplacian_energy(spark, d):
+    """K5: the exploratory pilot measure."""
+    @F.pandas_udf(DoubleType())
+    def energy(pixels: pd.Series) -> pd.Series:
+        return pixels.map(lambda p: kernels.laplacian_energy(np.asarray(p).reshape(8, 8) / 255.0))
+
+    return t.images(spark, d).select("sha256", F.round(energy("pixels"), 6).alias("energy"))
+
+
+@query(f"WITH {F_SQL} SELECT clip, frame_index, len(list_distinct(cited || ['s0', 's1'])) AS either, len(list_intersect(cited, ['s0', 's1'])) AS both FROM f")
+def u4_array_sets(spark, d):
+    two = F.array(F.lit("s0"), F.lit("s1"))
+    size = lambda c: F.size(c).cast("long")
+    return t.frames(spark, d).select("clip", "frame_index", size(F.array_union("cited", two)).alias("either"), size(F.array_intersect("cited", two)).alias("both"))
+
+
+@query(f"WITH {A} SELECT doc_id, 'labelled' AS part FROM a WHERE manipulation <> 'none' UNION ALL SELECT doc_id, 'all' FROM a")
+def u1_union(spark, d):
+    rows = t.assets(spark, d)
+    return rows.where("manipulation <> 'none'").select("doc_id", F.lit("labelled").alias("part")).unionByName(rows.select("doc_id", F.lit("all").alias("part")))
+
+
+@query(f"WITH {p_sql()} SELECT id::VARCHAR AS id, y, pred, round(score, 6) AS score FROM p")
+def j7_prediction_track(spark, d):
+    """Stored scores in the order of the split; a missing one raises."""
+    rows = t.predictions(spark, d)
+    order = rows.select(F.col("id").cast("string").alias("sha256"), "y")
+    return verdicts.prediction_track(order, rows.select(F.col("id").cast("string").alias("sha256"), "score")).select("id", "y", "pred", _round("score", "score"))
+
+
+@query()
+def m5_batch_scores(spark, d):
+    """M2-M5: a perceptron on embeddings against a label's parity, scored in batch (held-out accuracy is tested on separable data)."""
+    from attestor.operators import classifier
+
+    rows = t.table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("y"), F.col("embedding").alias("features"))
+    model, _ = classifier.sweep(rows, rows, rates=[1e-3], hidden=[16], epochs=15)
+    return classifier.score(model, rows)

@@ -1,6 +1,7 @@
 """Operators against hand-made cases and plain loops."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -391,3 +392,48 @@ def test_classifier(spark):
     model, history = classifier.sweep(data, data, rates=[1e-3, 1e-2], hidden=[8], epochs=20)
     assert len(history) == 2 and metrics.basic_metrics(classifier.score(model, data)).first()["accuracy"] > 0.85
     assert classifier.early_stop([0.1, 0.5, 0.4, 0.4, 0.4, 0.4, 0.4, 0.9]) == 7
+
+
+def test_stages_from_files(spark, tmp_path):
+    import json
+
+    from attestor.plans import stages
+
+    root = tmp_path / "raw"
+    for source, names in (("micc_f220", ["CRW_4809_scale.png", "CRW_4809tamp1.png", "DSC_1_a.png"]), ("cifake", ["real/img_1.png", "fake/img_2.png", "fake/img_3.png"])):
+        for i, name in enumerate(names):
+            (root / source / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / source / name).write_bytes(png(picture(24, len(source) * 10 + min(i, 1 if source == "cifake" else 9)).astype(np.uint8)))
+        (root / source / "source_record.json").write_text(json.dumps({"source": source, "license": "mit"}))
+    out = str(tmp_path / "manifest")
+    done = stages.build_manifest(spark, str(root), out)
+    assert done["input"] == 6 and done["exact_removed"] == 1 and done["output"] == 5 and done["by_source"] == {"cifake": 2, "micc_f220": 3}
+    assert stages.build_manifest(spark, str(root), out) is None and stages.build_manifest(spark, str(root), out, force=True) == done
+    manifest = spark.read.parquet(out)
+    assert manifest.columns == schemas.MANIFEST.names and manifest.where("width = 24 AND length(phash) = 16").count() == 5
+    parts = str(tmp_path / "splits")
+    summary = stages.build_splits(spark, out, parts)
+    assert sum(summary["counts"].values()) == 5 and stages.verify_splits(spark, out, parts) and stages.build_splits(spark, out, parts) is None
+    signals = str(tmp_path / "signals")
+    assert set(stages.build_signals(spark, str(root), out, signals).values()) == {5}
+    assert store.load_features(spark, signals).count() == 5 * 134
+    assert set(stages.build_signals(spark, str(root), out, signals).values()) == {0}
+
+
+def test_phash_moves_little_with_the_image():
+    from attestor.plans.stages import image_phash
+
+    a = picture(64, 5)
+    b = a.copy()
+    b[3, 4] += 9
+    far = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count()
+    assert far(image_phash(a), image_phash(b)) <= 4 < far(image_phash(a), image_phash(picture(64, 6)))
+
+
+def test_the_optional_subpackage_is_not_needed():
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parents[1] / "attestor"
+    for file in root.rglob("*.py"):
+        if "llm" not in file.parts:
+            assert not re.search(r"\bllm\b", file.read_text()), file
