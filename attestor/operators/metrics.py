@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.operators.ranking import global_row_number
+from attestor.operators.ranking import global_row_number, global_running_sum
 
 BOOTSTRAP_SEED = 20260803
 RESAMPLES = 1000
@@ -64,19 +64,21 @@ def rank_auc(rows: DataFrame) -> DataFrame:
 def rank_auc_tied(rows: DataFrame) -> DataFrame:
     """One row, auroc with tied scores sharing their mean rank: needs counts by score only."""
     by_score = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
-    ranked = global_row_number(by_score, "score")
-    # ranks before each score by a running sum over the ranges that global_row_number dealt would do; scores are few here
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(w), F.lit(0))
-    mean = ranked.select("ones", "n", (before + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = global_running_sum(by_score, "n", "score", name="upto")
+    mean = ranked.select("ones", "n", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
     total = mean.agg(F.sum(F.col("ones") * F.col("rank")).alias("ranks"), F.sum("ones").cast("double").alias("ones"), (F.sum("n") - F.sum("ones")).cast("double").alias("zeros"))
     return total.select(_auc().alias("auroc"))
 
 
 def folded_auc(rows: DataFrame, *by: str) -> DataFrame:
-    """EDA: max(auc, 1 - auc) by slice, slices with both classes only, four decimals."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("score", "id"))
-    auc = rows.withColumn("rn", rank).groupBy(*by).agg(*_auc_of(F.col("rn"))).withColumn("auc", _auc()).where("auc IS NOT NULL")
+    """EDA: max(auc, 1 - auc) by slice, slices with both classes only, four decimals.
+
+    Ranks are global over (slice, score, id); a slice's own start after its smallest, so that a slice
+    with very many rows is no task of its own.
+    """
+    ranked = global_row_number(rows.select("id", "y", "score", *by), *by, "score", "id")
+    sums = ranked.groupBy(*by).agg(*_auc_of(F.col("rn")), F.min("rn").alias("first"))
+    auc = sums.withColumn("ranks", F.col("ranks") - F.col("ones") * (F.col("first") - 1)).withColumn("auc", _auc()).where("auc IS NOT NULL")
     return auc.select(*by, F.round(F.greatest("auc", 1 - F.col("auc")), 4).alias("auc"))
 
 

@@ -116,6 +116,29 @@ def test_metrics_by_hand(spark):
     assert metrics.rank_auc_tied(eval_rows(spark, [0, 1], [0] * 2, [0.5, 0.5])).first()[0] == 0.5
 
 
+def test_ranks_and_slices_equal_plain_loops(spark):
+    from attestor.operators.ranking import global_row_number, global_running_sum
+
+    rng = random.Random(9)
+    data = [(i, rng.randint(0, 1), rng.randint(0, 9) / 10, rng.choice("aab")) for i in range(500)]
+    rows = spark.createDataFrame(data, "id int, y int, score double, source string")
+    order = sorted(data, key=lambda r: (r[2], r[0]))
+    assert {r["id"]: r["rn"] for r in global_row_number(rows, "score", "id").collect()} == {r[0]: i for i, r in enumerate(order, 1)}
+    sums = {r["id"]: r["upto"] for r in global_running_sum(rows, "y", "score", "id", name="upto").collect()}
+    assert all(sums[r[0]] == sum(x[1] for x in order[: i + 1]) for i, r in enumerate(order))
+
+    def auc(part):
+        ones = sum(r[1] for r in part)
+        ranks = sum(i for i, r in enumerate(part, 1) if r[1])
+        return (ranks - ones * (ones + 1) / 2) / (ones * (len(part) - ones))
+
+    want = {s: auc([r for r in order if r[3] == s]) for s in "ab"}
+    got = {r["source"]: r["auc"] for r in metrics.folded_auc(rows, "source").collect()}
+    assert got == {s: round(max(a, 1 - a), 4) for s, a in want.items()}
+    pairs = [(p[2] > q[2]) + 0.5 * (p[2] == q[2]) for p in data if p[1] for q in data if not q[1]]
+    assert metrics.rank_auc_tied(rows).first()[0] == pytest.approx(sum(pairs) / len(pairs))
+
+
 def test_bootstrap_brackets_and_paired_delta(spark):
     rng = random.Random(1)
     y = [rng.randint(0, 1) for _ in range(300)]
