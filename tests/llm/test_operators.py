@@ -363,3 +363,34 @@ def test_pipeline_keeps_one_of_each_and_packs_all(spark, documents):
     for r in sorted(pieces, key=lambda r: r["start"]):
         joined[r["doc_id"]] = joined.get(r["doc_id"], []) + list(r["ids"])
     assert all(library.decode(joined[i][:-1]) == texts[i] for i in range(30))
+
+
+def test_pipeline_groups_copies_from_08_on(spark, documents):
+    """Planted copies at 0.8 to 0.95 of their five-word shingles are one group, texts below are not."""
+    import corpus_pipeline
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rng = random.Random(17)
+    texts, below = [], []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        changed, near, far = list(words), None, None
+        for at in rng.sample(range(5, 195), 20):
+            changed[at] = f"z{rng.randrange(10**6)}"
+            a, b = shingles(words), shingles(changed)
+            like = len(a & b) / len(a | b)
+            if like >= 0.8 and (near is None or i % 2 == 0):  # the least alike that still belong, or one changed word
+                near = list(changed)
+            elif like < 0.79 and far is None:
+                far = list(changed)
+        texts.append(" ".join(near))
+        below.append(" ".join(far))
+    texts += [texts[0]] * 3
+    docs = spark.read.parquet(f"{documents(rows_of(texts))}/documents.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == list(range(0, 120, 2))
+    alone = [t for pair in zip(texts[:120:2], below, strict=True) for t in pair]
+    docs = spark.read.parquet(f"{documents(rows_of(alone))}/documents.parquet")
+    assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 120
