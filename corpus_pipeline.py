@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from attestor.llm import line_dedup, near_documents, packing, quality, suffix_dedup
 from attestor.llm.common import fold, prepare, table
 
 #: Scores below go.
@@ -50,9 +50,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents (shingles of five words) the one with the smallest id (null ids last, then by row)."""
+    """Of each group of near-duplicate documents (0.8 of their five-word shingles) the one with the smallest id (null ids last, then by row)."""
     rows = _numbered(docs)
-    groups = simhash.near_groups(rows, id_column=_ROW, size=5)
+    groups = near_documents.near_documents(rows, id_column=_ROW)
     ids = rows.select(_ROW, F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(_ROW).alias("row")).alias("first"))
     first = groups.select(_ROW, "component_id").join(ids, _ROW).groupBy("component_id").agg(F.min("first").alias("first"))
     chosen = first.select(F.col("first.row").alias(_ROW))
