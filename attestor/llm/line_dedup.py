@@ -2,7 +2,8 @@
 
 A line is dropped if an earlier line (smaller document id, then place) is equal to it or one edit of
 a word away: one word changed, inserted or left out. The edit bound is on words, and only lines of at
-least five take part, so lines that fall together are at least 0.8 alike; shorter lines stay.
+least five take part in it, so lines that fall together are at least 0.8 alike. Equal lines fall from
+``copies_from`` words on (1: all but blank lines, which part paragraphs).
 
 1. Equal lines meet by a hash of 128 bits; the first one stands for all.
 2. If two lines are one edit apart, a word's edit leaves the first or the last half of the words as it
@@ -33,11 +34,14 @@ _AT = ["doc", "uid", "pos"]
 _KEY = ["length", "key1", "key2"]
 
 
-def _lines(rows: DataFrame, min_words: int, *more: str) -> DataFrame:
-    """One row per line that takes part: doc, uid, pos, line, n (words: what single spaces part)."""
-    lines = rows.select("doc", "uid", *more, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _lines(rows: DataFrame, min_words: int, copies_from: int | None = None) -> DataFrame:
+    """One row per line that takes part: doc, uid, pos, line, n (words: what single spaces part); from copies_from words on if not blank."""
+    lines = rows.select("doc", "uid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return lines.withColumn("n", n).where(F.col("n") >= min_words)
+    takes_part = F.col("n") >= min_words
+    if copies_from is not None and copies_from < min_words:
+        takes_part |= (F.col("n") >= copies_from) & F.col("line").rlike(r"[^ \t\r]")
+    return lines.withColumn("n", n).where(takes_part)
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -115,9 +119,11 @@ def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int) -
     return links.join(a, ["uid", "pos"]).join(b, ["by_uid", "by_pos"]).where(_one_edit("a", "b")).select("uid", "pos")
 
 
-def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, copies_from: int = MIN_WORDS) -> DataFrame:
     """(uid, id, n_lines, n_removed, kept): every document without its repeated lines.
 
+    Lines one edit apart meet from ``min_words`` words on, equal lines from ``copies_from`` on.
+
     ``kept`` is the text of the lines that stay, joined by newlines; a document that loses all lines
     keeps the empty text. A null text is the empty text (one empty line, which stays). Rows with the
     same id stand in the table's order; null ids come after all others. ``uid`` numbers the rows of
@@ -128,7 +134,8 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), docs[id_column].alias("id"), F.coalesce(docs[id_column].cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(docs[text_column], F.lit("")).alias("text"),
     )
-    lines = _hashed(_lines(rows, min_words)).select("h1", "h2", *_AT, _halves().alias("halves")).checkpoint()
+    halves = F.when(F.col("n") >= min_words, _halves())  # shorter lines meet their copies only
+    lines = _hashed(_lines(rows, min_words, copies_from)).select("h1", "h2", *_AT, halves.alias("halves")).checkpoint()
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"))
     repeated = cut(distinct.where("copies > 1").select("h1", "h2", "first"))  # joined afresh, so that a hot line's rows can be split
     later = cut(lines.select("h1", "h2", "uid", "pos").join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos"))
@@ -169,3 +176,30 @@ g AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM g GROUP BY doc_id"""
+
+#: The same with equal lines of any length but blank ones.
+ORACLE_EVERY_LINE = f"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
+),
+c AS (
+  SELECT line, string_split(line, ' ') AS w, min((doc_id, pos)) AS first
+  FROM l WHERE len(string_split(line, ' ')) >= {MIN_WORDS} OR trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY line
+),
+f AS (SELECT * FROM c WHERE len(w) >= {MIN_WORDS}),
+v AS (SELECT first, i, w[1:i - 1] || w[i + 1:] AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f)),
+s AS (SELECT rest, i, min(first) AS by FROM v GROUP BY rest, i),
+d AS (SELECT rest, min(first) AS by FROM v GROUP BY rest),
+e AS (
+  SELECT v.first FROM v JOIN s ON v.rest = s.rest AND v.i = s.i WHERE s.by < v.first
+  UNION SELECT v.first FROM v JOIN f ON v.rest = f.w WHERE f.first < v.first
+  UNION SELECT f.first FROM f JOIN d ON d.rest = f.w WHERE d.by < f.first
+),
+g AS (
+  SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND ((l.doc_id, l.pos) <> c.first OR e.first IS NOT NULL) AS gone
+  FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN e ON e.first = c.first
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id"""

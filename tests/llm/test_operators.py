@@ -394,3 +394,18 @@ def test_pipeline_groups_copies_from_08_on(spark, documents):
     alone = [t for pair in zip(texts[:120:2], below, strict=True) for t in pair]
     docs = spark.read.parquet(f"{documents(rows_of(alone))}/documents.parquet")
     assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == 120
+
+
+def test_copies_of_lines_of_any_length(spark, documents):
+    """Short lines and lines without spaces lose their copies; blank lines stay; the query equals its SQL."""
+    import corpus_pipeline
+
+    texts = ["Les.\n\nAnd ornd.\n同じ行です", "Les.\n \n\nAnd ornd\n同じ行です\na\tb\tc", "one two three four five\na\tb\tc\nAnd ornd.", *[t for t in AWKWARD if t is None or len(t) < 1000], "one two three four six\nLes."]
+    folder = documents(rows_of(texts))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_lines(spark, docs, folder).collect()}
+    assert kept[0] == texts[0] and kept[1] == " \n\nAnd ornd\na\tb\tc" and kept[2] == "one two three four five" and kept[len(texts) - 1] == ""
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in Q.op4_every_line(spark, folder).collect()]
+    assert sorted(got) == sorted(con.execute(Q.ORACLES["op4_every_line"]).fetchall())
