@@ -45,7 +45,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without lines that stand, equal or nearly so, in an earlier place."""
-    done = line_dedup.drop_repeated_lines(docs)
+    done = line_dedup.drop_repeated_lines(docs, copies_from=1)
     return _with_texts(docs, done.select(F.col("uid").alias("row"), F.col("kept").alias("__pipeline_text")))
 
 
