@@ -1,4 +1,4 @@
-"""Classifier over feature vectors with Spark ML: a sweep on a fixed validation split, frozen winner, batch scores."""
+"""Classifier over feature vectors with Spark ML: a sweep on a given validation split, batch scores."""
 
 from __future__ import annotations
 
