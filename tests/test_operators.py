@@ -1,7 +1,9 @@
 """Operators against hand-made cases and plain loops."""
 
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -269,7 +271,9 @@ def test_kernels():
         assert all(np.isfinite(r[2]) for r in rows)
     assert np.allclose(kernels.noise_residual(image), image - plain_median(image))
     ramp = np.add.outer(np.zeros(96), np.arange(96.0))
-    assert kernels.light(ramp)[0] == pytest.approx(0, abs=1) and kernels.light(ramp.T[::-1])[0] == pytest.approx(90, abs=1)
+    degrees = lambda x: np.degrees(np.angle(kernels.shading(x)))
+    assert degrees(ramp) == pytest.approx(np.zeros((3, 3)), abs=1) and degrees(ramp.T[::-1]) == pytest.approx(np.full((3, 3), 90), abs=1)
+    assert not kernels.shading(np.full((50, 70), 0.3)).any()
     assert kernels.strongest_dip(np.array([9.0, 8, 5, 7, 6, 5, 4, 3, 2, 1, 0])) == (55.0, pytest.approx(2 / (50 / 11)))
     assert kernels.strongest_dip(np.arange(11.0)) == (45.0, 0.0)
     with pytest.raises(ValueError):
@@ -280,11 +284,44 @@ def test_ghost_and_grid_follow_the_image():
     image = kernels.recompress(picture(192, 1), 60)
     errors = [((image - kernels.recompress(image, q)) ** 2).mean() for q in kernels.QUALITIES]
     assert kernels.QUALITIES[int(np.argmin(errors))] in (60, 55, 65, 95) and errors[kernels.QUALITIES.index(60)] < 0.5
-    strong = kernels.grid_of(kernels.recompress(picture(192, 1), 45))
-    moved = kernels.grid_of(kernels.recompress(picture(192, 1), 45)[3:, 3:])
     most = lambda found: max(found, key=found.count)
-    assert most([(h, v) for _, h, v in strong.values()]) == (7, 7)
-    assert most([(h, v) for _, h, v in moved.values()]) == (4, 4)
+    for cut, grid in ((0, (7, 7)), (3, (4, 4))):
+        _, lines, columns = kernels.blocking_phases(kernels.recompress(picture(192, 1), 45)[cut:, cut:])
+        assert most(list(zip(lines.tolist(), columns.tolist(), strict=True))) == grid
+
+
+def plain_phase(part, first):
+    """(contrast, phase) of column steps, phase by phase."""
+    steps = [[abs(int(b) - int(a)) for a, b in zip(row, row[1:], strict=False)] for row in part.tolist()]
+    if len(part) == 0 or len(steps[0]) < 16:
+        return 0.0, first % 8
+    by_phase = {p: Fraction(sum(sum(row[p::8]) for row in steps), len(steps) * len(steps[0][p::8])) for p in range(8)}
+    best = max(by_phase, key=lambda p: (by_phase[p], -p))
+    rest = sum(e for p, e in by_phase.items() if p != best) / 7
+    return float(by_phase[best] - rest) / (float(sum(by_phase.values()) / 8) + 1e-12), (best + first) % 8
+
+
+def plain_shading(part):
+    k = [math.exp(-0.5 * (i / 12) ** 2) for i in range(-48, 49)]
+    mirror = lambda i, n: (lambda j: j if j < n else 2 * n - 1 - j)(i % (2 * n))
+    line = lambda v: np.array([sum(w * v[mirror(i + d, len(v))] for d, w in zip(range(-48, 49), k, strict=True)) / sum(k) for i in range(len(v))])
+    smooth = np.array([line(row) for row in np.array([line(col) for col in part.T]).T])
+    p = np.pad(smooth, 1, mode="symmetric")
+    gx = sum(w * (p[d : d + len(part), 2:] - p[d : d + len(part), :-2]) for d, w in ((0, 1), (1, 2), (2, 1)))
+    gy = sum(w * (p[2:, d : d + part.shape[1]] - p[:-2, d : d + part.shape[1]]) for d, w in ((0, 1), (1, 2), (2, 1)))
+    return complex(gx.mean(), -gy.mean()) / (np.hypot(gx, gy).mean() + 1e-12)
+
+
+@pytest.mark.parametrize("shape", [(24, 24), (50, 61), (55, 9), (130, 70)])
+def test_grid_and_light_equal_plain_loops(shape):
+    image = picture(140, 3)[: shape[0], : shape[1]]
+    strength, lines, columns = kernels.blocking_phases(image)
+    light = kernels.shading(image / 255.0).ravel()
+    for k, (rows, cols) in enumerate(kernels.regions(image).values()):
+        across, v = plain_phase(image[rows, cols], cols.start)
+        down, h = plain_phase(image[rows, cols].T, rows.start)
+        assert (h, v) == (lines[k], columns[k]) and strength[k] == pytest.approx((across + down) / 2)
+        assert light[k] == pytest.approx(plain_shading(image[rows, cols] / 255.0), abs=1e-9)
 
 
 def images(spark, n, start=0):
