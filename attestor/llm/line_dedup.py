@@ -1,20 +1,20 @@
-"""Near-duplicate lines by a deletion-neighbourhood join over words.
+"""Near-duplicate lines by a deletion-neighbourhood join over words and over characters.
 
-A line is dropped if an earlier line (smaller document id, then place) is equal to it or one edit of
-a word away: one word changed, inserted or left out. The edit bound is on words, and only lines of at
-least five take part in it, so lines that fall together are at least 0.8 alike. Equal lines fall from
-``copies_from`` words on (1: all but blank lines, which part paragraphs).
+A line is dropped if an earlier line (smaller document id, then place) is equal to it or one edit
+away. The edit is of one character in lines of at least ``min_chars`` characters (so such lines are
+0.95 alike), or of one whole word in lines of at least ``min_words`` words (0.8 alike): one token
+changed, inserted or left out. Blank lines, which part paragraphs, stay.
 
 1. Equal lines meet by a hash of 128 bits; the first one stands for all.
-2. If two lines are one edit apart, a word's edit leaves the first or the last half of the words as it
+2. If two lines are one edit apart, the edit leaves the first or the last half of the tokens as it
    was. Lines that share no half with a different line therefore have no partner and are set aside.
-3. Every other line emits its *variants*: itself, and itself without each one of its words, as hashed
-   keys. A key is a sum over (word, place after the deletion), so all of a line's variants come from
+3. Every other line emits its *variants*: itself, and itself without each one of its tokens, as hashed
+   keys. A key is a sum over (token, place after the deletion), so all of a line's variants come from
    running sums, in time linear in the line.
 4. Lines that share a variant are one edit apart if the deleted places agree, or if one of the two
    deleted nothing. Each line therefore needs the earliest line of its variant groups only, which is a
    combined minimum: no pairs within a group are made, however large.
-5. That earliest line is compared word by word, which settles the edit distance.
+5. That earliest line is compared token by token, which settles the edit distance.
 
 Only DataFrame functions are used. Lines are told apart by (id, row, place).
 """
@@ -25,58 +25,71 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.bitset import bitset, only_possible, with_test
-from attestor.llm.common import cut, prepare
+from attestor.llm.common import cut, numbered, prepare, unused
 
-MIN_WORDS = 5
-_MASK = (1 << 40) - 1  # sums of 2^23 words fit in a long
+#: Least words of a line for an edit of a word, and least characters for an edit of a character.
+MIN_WORDS, MIN_CHARS = 5, 20
+_BY_WORD, _BY_CHAR = 0, 1
+_MASK = (1 << 40) - 1  # sums of 2^23 tokens fit in a long
 _LAST = (1 << 63) - 1
 _AT = ["doc", "uid", "pos"]
-_KEY = ["length", "key1", "key2"]
+_KEY = ["kind", "length", "key1", "key2"]
 
 
-def _lines(rows: DataFrame, min_words: int, copies_from: int | None = None) -> DataFrame:
-    """One row per line that takes part: doc, uid, pos, line, n (words: what single spaces part); from copies_from words on if not blank."""
-    lines = rows.select("doc", "uid", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    takes_part = F.col("n") >= min_words
-    if copies_from is not None and copies_from < min_words:
-        takes_part |= (F.col("n") >= copies_from) & F.col("line").rlike(r"[^ \t\r]")
-    return lines.withColumn("n", n).where(takes_part)
+def _lines(rows: DataFrame) -> DataFrame:
+    """One row per line that is not blank: doc, uid, pos, line, words (what single spaces part), chars."""
+    lines = rows.select("doc", "uid", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^ \t\r]"))
+    return lines.select(*_AT, "line", (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).alias("words"), F.length("line").alias("chars"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
-def _halves() -> Column:
+def _halves(min_words: int, min_chars: int) -> Column:
     """Hashes of the first and last halves that an edit may leave whole (for partners of any length); some may be null."""
-    part = lambda count: F.call_function("substring_index", F.col("line"), F.lit(" "), count)
-    both = lambda m: (F.xxhash64(F.lit(0), m, part(m)), F.xxhash64(F.lit(1), m, part(-m)))
-    more, less = F.shiftright(F.col("n") - 1, 1), F.shiftright(F.col("n") - 2, 1)
-    return F.array(*both(more), *[F.when(more != less, key) for key in both(less)])
-
-
-def _variants(candidates: DataFrame) -> DataFrame:
-    """(doc, uid, pos, length, key1, key2, gone): the line itself (gone = -1), and without word ``gone``."""
-    words = candidates.select(*_AT, "n", F.posexplode(F.split("line", " ")).alias("k", "word"))
-    before = F.col("k") - 1
+    line = F.col("line")
+    parts = {
+        _BY_WORD: (F.col("words"), min_words, lambda m: F.call_function("substring_index", line, F.lit(" "), m), lambda m: F.call_function("substring_index", line, F.lit(" "), -m)),
+        _BY_CHAR: (F.col("chars"), min_chars, lambda m: F.left(line, m), lambda m: F.right(line, m)),
+    }
+    out = []
+    for kind, (n, least, first, last) in parts.items():
+        both = lambda m: (F.xxhash64(F.lit(2 * kind), m, first(m)), F.xxhash64(F.lit(2 * kind + 1), m, last(m)))  # noqa: E731, B023
+        more, less = F.shiftright(n - 1, 1), F.shiftright(n - 2, 1)
+        out += [F.when(n >= least, key) for key in both(more)] + [F.when((n >= least) & (more != less), key) for key in both(less)]
+    return F.array(*out)
+
+
+def _tokens(candidates: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """One row per token: doc, uid, pos, kind, n (tokens of the line), k, token."""
+    as_ = lambda kind, n, least, tokens: F.when(n >= least, F.struct(F.lit(kind).alias("kind"), n.alias("n"), tokens.alias("tokens")))
+    both = F.array(as_(_BY_WORD, F.col("words"), min_words, F.split("line", " ")), as_(_BY_CHAR, F.col("chars"), min_chars, F.split("line", "")))
+    return candidates.select(*_AT, F.inline(F.array_compact(both))).select(*_AT, "kind", "n", F.posexplode("tokens").alias("k", "token"))
+
+
+def _variants(candidates: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """(doc, uid, pos, kind, length, key1, key2, gone): the line itself (gone = -1), and without token ``gone``."""
+    tokens, before = _tokens(candidates, min_words, min_chars), F.col("k") - 1
     sums = {
-        "a1": F.xxhash64("word", "k"), "a2": F.xxhash64("k", "word"),  # at its own place
-        "b1": F.xxhash64("word", before), "b2": F.xxhash64(before, "word"),  # moved up by one
+        "a1": F.xxhash64("token", "k"), "a2": F.xxhash64("k", "token"),  # at its own place
+        "b1": F.xxhash64("token", before), "b2": F.xxhash64(before, "token"),  # moved up by one
     }
-    words = words.select(*_AT, "n", "k", *[c.bitwiseAND(F.lit(_MASK)).alias(name) for name, c in sums.items()])
-    line = Window.partitionBy("uid", "pos", "doc", "n")
+    of = ["uid", "pos", "doc", "kind", "n"]
+    tokens = tokens.select(*of, "k", *[c.bitwiseAND(F.lit(_MASK)).alias(name) for name, c in sums.items()])
+    line = Window.partitionBy(*of)
     ahead = line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     key = lambda i: F.sum(f"b{i}").over(line) - F.col(f"b{i}") + F.coalesce(F.sum(F.col(f"a{i}") - F.col(f"b{i}")).over(ahead), F.lit(0))
-    without = words.select(*_AT, (F.col("n") - 1).alias("length"), key(1).alias("key1"), key(2).alias("key2"), F.col("k").alias("gone"))
-    whole = words.groupBy("uid", "pos", "doc", "n").agg(F.sum("a1").alias("key1"), F.sum("a2").alias("key2"))
-    return without.unionByName(whole.select(*_AT, F.col("n").alias("length"), "key1", "key2", F.lit(-1).alias("gone")))
+    without = tokens.select(*_AT, "kind", (F.col("n") - 1).alias("length"), key(1).alias("key1"), key(2).alias("key2"), F.col("k").alias("gone"))
+    whole = tokens.groupBy(*of).agg(F.sum("a1").alias("key1"), F.sum("a2").alias("key2"))
+    return without.unionByName(whole.select(*_AT, "kind", F.col("n").alias("length"), "key1", "key2", F.lit(-1).alias("gone")))
 
 
-def _one_edit(a: str, b: str) -> Column:
+def _one_word_apart(a: str, b: str) -> Column:
     """Are two lines at most one word's edit apart?"""
-    short, long = F.when(F.col(f"{a}.n") <= F.col(f"{b}.n"), F.col(f"{a}.line")).otherwise(F.col(f"{b}.line")), F.when(F.col(f"{a}.n") <= F.col(f"{b}.n"), F.col(f"{b}.line")).otherwise(F.col(f"{a}.line"))
-    pair = F.array(F.struct(F.split(short, " ").alias("s"), F.split(long, " ").alias("t")))
+    less = F.col(f"{a}.words") <= F.col(f"{b}.words")
+    one, two = F.col(f"{a}.line"), F.col(f"{b}.line")
+    pair = F.array(F.struct(F.split(F.when(less, one).otherwise(two), " ").alias("s"), F.split(F.when(less, two).otherwise(one), " ").alias("t")))
 
     def test(p: Column) -> Column:
         differ = F.zip_with(p["s"], F.slice(p["t"], 1, F.size(p["s"])), lambda x, y: x != y)
@@ -90,21 +103,26 @@ def _one_edit(a: str, b: str) -> Column:
     return F.transform(pair, test)[0]
 
 
+def _one_edit(a: str, b: str) -> Column:
+    """Are two lines at most one edit of the given kind apart?"""
+    return F.when(F.col("kind") == _BY_WORD, _one_word_apart(a, b)).otherwise(F.levenshtein(F.col(f"{a}.line"), F.col(f"{b}.line"), 1) >= 0)
+
+
 def _semi(rows: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
     """Left semi join; rows without a partner are mostly left out before the shuffle."""
     key = F.xxhash64(*columns)
     return only_possible(rows, key, bitset(other, key)).join(other, list(columns), "left_semi")
 
 
-def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int) -> DataFrame:
+def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int, min_chars: int) -> DataFrame:
     """(uid, pos) of the first copies of lines that have an earlier line one edit away."""
     keys = lines.select("h1", F.explode("halves").alias("half")).where("half IS NOT NULL")
     shared = cut(keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half"))
     chosen = cut(_semi(keys, shared, "half").select("h1").distinct())
     places = cut(_semi(lines.select("h1", "uid", "pos"), chosen, "h1").join(later, ["uid", "pos"], "left_anti").select("uid", "pos"))
-    candidates = cut(_semi(_lines(rows, min_words), places, "uid", "pos").select(*_AT, "n", "line"))
+    candidates = cut(_semi(_lines(rows), places, "uid", "pos"))
 
-    variants = _variants(candidates)
+    variants = _variants(candidates, min_words, min_chars)
     one = F.xxhash64("uid", "pos")
     several = variants.groupBy(*_KEY).agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select(*_KEY)
     met = cut(variants.join(several, _KEY).withColumn("at", F.struct(*_AT)))
@@ -112,34 +130,32 @@ def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int) -
     same_place = deleted.groupBy(*_KEY, "gone").agg(F.min("at").alias("by"))
     any_place = deleted.groupBy(*_KEY).agg(F.min("at").alias("by"))
     none = whole.groupBy(*_KEY).agg(F.min("at").alias("by"))
-    links = deleted.join(same_place, [*_KEY, "gone"]).select("at", "by")
-    links = links.unionByName(deleted.join(none, _KEY).select("at", "by")).unionByName(whole.join(any_place, _KEY).select("at", "by"))
-    links = links.where("by < at").groupBy("at").agg(F.min("by").alias("by")).select("at.uid", "at.pos", F.col("by.uid").alias("by_uid"), F.col("by.pos").alias("by_pos"))
-    a, b = candidates.select("uid", "pos", F.struct("n", "line").alias("a")), candidates.select(F.col("uid").alias("by_uid"), F.col("pos").alias("by_pos"), F.struct("n", "line").alias("b"))
-    return links.join(a, ["uid", "pos"]).join(b, ["by_uid", "by_pos"]).where(_one_edit("a", "b")).select("uid", "pos")
+    links = deleted.join(same_place, [*_KEY, "gone"]).select("kind", "at", "by")
+    links = links.unionByName(deleted.join(none, _KEY).select("kind", "at", "by")).unionByName(whole.join(any_place, _KEY).select("kind", "at", "by"))
+    links = links.where("by < at").groupBy("kind", "at").agg(F.min("by").alias("by")).select("kind", "at.uid", "at.pos", F.col("by.uid").alias("by_uid"), F.col("by.pos").alias("by_pos"))
+    a, b = candidates.select("uid", "pos", F.struct("words", "line").alias("a")), candidates.select(F.col("uid").alias("by_uid"), F.col("pos").alias("by_pos"), F.struct("words", "line").alias("b"))
+    return links.join(a, ["uid", "pos"]).join(b, ["by_uid", "by_pos"]).where(_one_edit("a", "b")).select("uid", "pos").distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, copies_from: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, row_column: str | None = None) -> DataFrame:
     """(uid, id, n_lines, n_removed, kept): every document without its repeated lines.
 
-    Lines one edit apart meet from ``min_words`` words on, equal lines from ``copies_from`` on.
-
     ``kept`` is the text of the lines that stay, joined by newlines; a document that loses all lines
     keeps the empty text. A null text is the empty text (one empty line, which stays). Rows with the
     same id stand in the table's order; null ids come after all others. ``uid`` numbers the rows of
-    docs, which must be a table or otherwise give its rows in a fixed order. An empty table gives an
-    empty result; other columns are not read.
+    docs (``row_column``, if the caller has numbered them). An empty table gives an empty result;
+    other columns are not read.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("uid"), docs[id_column].alias("id"), F.coalesce(docs[id_column].cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(docs[text_column], F.lit("")).alias("text"),
-    )
-    halves = F.when(F.col("n") >= min_words, _halves())  # shorter lines meet their copies only
-    lines = _hashed(_lines(rows, min_words, copies_from)).select("h1", "h2", *_AT, halves.alias("halves")).checkpoint()
+    if row_column is None:
+        row_column = unused(docs, "__uid")
+        docs = numbered(docs, row_column)
+    rows = docs.select(F.col(row_column).alias("uid"), F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    lines = _hashed(_lines(rows)).select("h1", "h2", *_AT, _halves(min_words, min_chars).alias("halves")).checkpoint()
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("copies"))
     repeated = cut(distinct.where("copies > 1").select("h1", "h2", "first"))  # joined afresh, so that a hot line's rows can be split
     later = cut(lines.select("h1", "h2", "uid", "pos").join(repeated, ["h1", "h2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("pos") != F.col("first.pos"))).select("uid", "pos"))
-    near = _near(rows, lines, later, min_words)
+    near = _near(rows, lines, later, min_words, min_chars)
     dropped = cut(later.unionByName(near).groupBy("uid").agg(F.collect_list("pos").alias("gone")))  # no more than a document's lines
     tested = with_test(rows, F.xxhash64("uid"), bitset(dropped, F.xxhash64("uid")), "some").select("uid", "id", "text", "some")
     done = tested.where("some").join(dropped, "uid", "left").unionByName(tested.where("NOT some").withColumn("gone", F.lit(None).cast("array<int>"))).drop("some")
@@ -151,24 +167,31 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
     )
 
 
-#: DuckDB SQL for the query over drop_repeated_lines(): all variants as lists of words, joined as they are.
+def _edits(lines: str, whole: str, without: str) -> str:
+    """SQL for the first copies that have an earlier line one edit away: all variants, joined as they are."""
+    return f"""
+    SELECT v.first FROM ({without}) v JOIN (SELECT rest, i, min(first) AS by FROM ({without}) GROUP BY rest, i) s ON v.rest = s.rest AND v.i = s.i WHERE s.by < v.first
+    UNION SELECT v.first FROM ({without}) v JOIN {lines} ON v.rest = {whole} WHERE f.first < v.first
+    UNION SELECT f.first FROM {lines} JOIN (SELECT rest, min(first) AS by FROM ({without}) GROUP BY rest) d ON d.rest = {whole} WHERE d.by < f.first"""
+
+
+_WORDS_SQL = _edits(f"(SELECT * FROM f WHERE len(w) >= {MIN_WORDS}) f", "f.w", "SELECT * FROM by_word")
+_CHARS_SQL = _edits(f"(SELECT * FROM f WHERE length(line) >= {MIN_CHARS}) f", "md5_number(f.line)", "SELECT * FROM by_char")
+
+#: DuckDB SQL for the query over drop_repeated_lines(): variants by words as lists, by characters as digests of the strings.
 ORACLE = f"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
 ),
-f AS (
+f AS MATERIALIZED (
   SELECT line, string_split(line, ' ') AS w, min((doc_id, pos)) AS first
-  FROM l WHERE len(string_split(line, ' ')) >= {MIN_WORDS} GROUP BY line
-),
-v AS (SELECT first, i, w[1:i - 1] || w[i + 1:] AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f)),
-s AS (SELECT rest, i, min(first) AS by FROM v GROUP BY rest, i),
-d AS (SELECT rest, min(first) AS by FROM v GROUP BY rest),
-e AS (
-  SELECT v.first FROM v JOIN s ON v.rest = s.rest AND v.i = s.i WHERE s.by < v.first
-  UNION SELECT v.first FROM v JOIN f ON v.rest = f.w WHERE f.first < v.first
-  UNION SELECT f.first FROM f JOIN d ON d.rest = f.w WHERE d.by < f.first
+  FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY line
 ),
+by_word AS MATERIALIZED (SELECT first, i, w[1:i - 1] || w[i + 1:] AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= {MIN_WORDS})),
+by_char AS MATERIALIZED (SELECT first, i, md5_number(left(line, i - 1) || substr(line, i + 1)) AS rest FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM f WHERE length(line) >= {MIN_CHARS})),
+e AS ({_WORDS_SQL}
+    UNION {_CHARS_SQL}),
 g AS (
   SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND ((l.doc_id, l.pos) <> f.first OR e.first IS NOT NULL) AS gone
   FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN e ON e.first = f.first
@@ -176,30 +199,3 @@ g AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM g GROUP BY doc_id"""
-
-#: The same with equal lines of any length but blank ones.
-ORACLE_EVERY_LINE = f"""
-WITH l AS (
-  SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
-),
-c AS (
-  SELECT line, string_split(line, ' ') AS w, min((doc_id, pos)) AS first
-  FROM l WHERE len(string_split(line, ' ')) >= {MIN_WORDS} OR trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY line
-),
-f AS (SELECT * FROM c WHERE len(w) >= {MIN_WORDS}),
-v AS (SELECT first, i, w[1:i - 1] || w[i + 1:] AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM f)),
-s AS (SELECT rest, i, min(first) AS by FROM v GROUP BY rest, i),
-d AS (SELECT rest, min(first) AS by FROM v GROUP BY rest),
-e AS (
-  SELECT v.first FROM v JOIN s ON v.rest = s.rest AND v.i = s.i WHERE s.by < v.first
-  UNION SELECT v.first FROM v JOIN f ON v.rest = f.w WHERE f.first < v.first
-  UNION SELECT f.first FROM f JOIN d ON d.rest = f.w WHERE d.by < f.first
-),
-g AS (
-  SELECT l.doc_id, l.pos, l.line, c.line IS NOT NULL AND ((l.doc_id, l.pos) <> c.first OR e.first IS NOT NULL) AS gone
-  FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN e ON e.first = c.first
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM g GROUP BY doc_id"""
