@@ -7,9 +7,12 @@ array over everything:
 1. *Anchors.* In every window the smallest hash of its 32-byte strings picks an anchor. Equal windows
    have equal anchors at equal places, so windows need only be compared where anchors agree. A run of
    windows with one anchor is a fragment (its windows and no more).
-2. *Copies.* Fragments that are equal as a whole are merged, first within the task that made them and
-   then by anchor: all but the earliest are removed as a whole and travel no further, so a passage in
-   a third of all documents costs one row for each task.
+2. *Copies.* Fragments that are equal as a whole are classes: all but the earliest are removed as a
+   whole, and the earliest represents its class in step 3. Members meet by hashes, first within the
+   task that made them and then by anchor, so a passage in a third of all documents costs one row for
+   each task. Every membership is then verified byte by byte: within the task at once; between tasks
+   adjoining members of one source become one run, whose bytes visit the source's text. Hashes only
+   propose; a collision raises an error (and another SEED goes around it).
 3. *Suffix arrays.* Anchors that remain in different fragments get their texts. For each bucket of
    anchors a suffix array is built over its fragments by two-stage sorting: suffixes smaller than
    their successors are sorted directly, all others are induced from them by one scan over the
@@ -28,13 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import partitions, prepare
+from attestor.llm.common import numbered, partitions, prepare, size_of, unused
 
 WINDOW = 100
 _GRAM = 32  # bytes of an anchor
 _CHUNK = 1 << 18  # window starts hashed at once
 _FLUSH = 600_000  # anchors that a task gathers before it hands them on
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+SEED = 20
+#: Bytes of the table's files that one slice of documents holds, about.
+SLICE_BYTES = 8 << 20
+_BYTE = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULTIPLY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -184,10 +190,20 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 _LAST = np.iinfo(np.int64).max
-_ROW = "kind int, at int, rid binary, doc binary, h binary, f binary, start binary, n binary, before binary"
-_NAMES = ["kind", "at", "rid", "doc", "h", "f", "start", "n", "before"]
-_TYPES = {"rid": np.int64, "doc": np.int64, "h": np.uint64, "f": np.uint64, "start": np.uint32, "n": np.uint8, "before": np.uint8}
-_ANCHORS, _SPANS, _WANTED = 0, 1, 2
+_TYPES = {"rid": np.int64, "doc": np.int64, "h": np.uint64, "f": np.uint64, "start": np.uint32, "n": np.uint8, "before": np.uint8, "of": np.int64, "of_start": np.uint32}
+_NAMES = ["kind", "at", *_TYPES]
+_ROW = "kind int, at int, " + ", ".join(f"{c} binary" for c in _TYPES)
+#: Kinds of rows: fragments; spans to remove; spans that wait for their verification; fragments whose texts are wanted.
+_ANCHORS, _SPANS, _COPIES, _WANTED = 0, 1, 2, 3
+
+
+class HashCollisionError(ValueError):
+    """Two different fragments have the same hashes."""
+
+    def __init__(self) -> None:
+        super().__init__("two different fragments have the same 128 bits of hashes; change suffix_dedup.SEED")
+
+
 #: Anchors with more different fragments than this are told apart further, and how that is marked (in n).
 HOT_ANCHOR, _HOT = 256, 128
 #: Windows, by their distance from the anchor, that are then kept together.
@@ -219,19 +235,26 @@ def _unpack(frame: pd.DataFrame, *names: str) -> list[np.ndarray]:
     return [x if x.dtype.itemsize == 8 else x.astype(np.int64) for x in packed]
 
 
-def _earliest(h, f, doc, rid, start) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by fragment and place, and which of them are a fragment's earliest."""
+def _earliest(h, f, doc, rid, start) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(representatives, other members, the others' representatives) of the classes of equal hashes."""
     by = np.lexsort((start, rid, doc, f, h))
-    return by, np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (f[by][1:] != f[by][:-1])))
+    first = np.concatenate(([True], (h[by][1:] != h[by][:-1]) | (f[by][1:] != f[by][:-1])))
+    of = by[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+    return by[first], by[~first], of[~first]
 
 
 def _find_anchors(buckets: int, slices: int, window: int):
     """Step 1, and step 2 within the task."""
 
     def flush(held: list[tuple]) -> pd.DataFrame:
-        rid, doc, h, f, start, n, before = (np.concatenate(x) for x in zip(*held, strict=True))
-        by, first = _earliest(h, f, doc, rid, start)
-        keep, drop = np.sort(by[first]), by[~first]  # documents' numbers in runs, for the shuffle's compression
+        texts = [x[0] for x in held]
+        rid, doc, h, f, start, n, before = (np.concatenate(x) for x in list(zip(*held, strict=True))[1:])
+        keep, drop, of = _earliest(h, f, doc, rid, start)
+        text_of, first, last = np.repeat(np.arange(len(held)), [len(x[1]) for x in held]), start.tolist(), (start + n + window - 1).tolist()
+        for i, j, t, u in zip(drop.tolist(), of.tolist(), text_of[drop].tolist(), text_of[of].tolist(), strict=True):
+            if texts[t][first[i] : last[i]] != texts[u][first[j] : last[j]]:
+                raise HashCollisionError
+        keep = np.sort(keep)  # documents' numbers in runs, for the shuffle's compression
         rows = list(_rows(_ANCHORS, (h[keep] % np.uint64(buckets)).astype(np.int64), rid=rid[keep], doc=doc[keep], h=h[keep], f=f[keep], start=start[keep], n=n[keep], before=before[keep]))
         # spans ride along in any bucket
         if len(drop):
@@ -246,7 +269,7 @@ def _find_anchors(buckets: int, slices: int, window: int):
                 if len(data) >= window:
                     found = anchors(data, window)
                     h = found[0]
-                    held.append((np.full(len(h), rid), np.full(len(h), doc), *found))
+                    held.append((text, np.full(len(h), rid), np.full(len(h), doc), *found))
                     size += len(h)
                 if size >= _FLUSH:
                     yield flush(held)
@@ -269,9 +292,8 @@ def _merge_copies(slices: int):
         found = frame[frame["kind"] == _ANCHORS]
         if len(found):
             rid, doc, h, f, start, n, before = _unpack(found, "rid", "doc", "h", "f", "start", "n", "before")
-            by, first = _earliest(h, f, doc, rid, start)
-            keep, drop = by[first], by[~first]
-            out += _rows(_SPANS, _slice_of(rid[drop], slices), rid=rid[drop], start=start[drop], n=n[drop])
+            keep, drop, of = _earliest(h, f, doc, rid, start)
+            out += _rows(_COPIES, _slice_of(rid[drop], slices), rid=rid[drop], start=start[drop], n=n[drop], of=rid[of], of_start=start[of])
             _, which, count = np.unique(h[keep], return_inverse=True, return_counts=True)
             count = count[which]
             n = n + _HOT * np.isin(np.arange(len(n)), keep[count > HOT_ANCHOR])
@@ -290,30 +312,54 @@ def _strips(start: int, n: int, before: int) -> Iterator[tuple[int, int, int]]:
             yield start + low, high - low + 1, strip
 
 
+#: Kinds of the rows that _fetch makes, and their columns.
+_FRAGMENT, _RUN = 0, 1
+_FETCHED = "kind int, at int, rid long, doc long, start long, key long, bytes binary"
+
+
+def _runs_of_copies(copies: pd.DataFrame, texts: dict[int, bytes], slices: int, window: int) -> Iterator[tuple]:
+    """Runs of adjoining members whose representatives adjoin as well: where the representatives are, and the members' bytes; equal runs once."""
+    rid, start, n, of, of_start = _unpack(copies, "rid", "start", "n", "of", "of_start")
+    by = np.lexsort((start, rid))
+    rid, start, n, of, of_start = (x[by] for x in (rid, start, n, of, of_start))
+    goes_on = (rid[1:] == rid[:-1]) & (start[1:] == start[:-1] + n[:-1]) & (of[1:] == of[:-1]) & (of_start[1:] - start[1:] == of_start[:-1] - start[:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.concatenate((first[1:], [len(rid)])) - 1
+    seen = set()
+    for r, a, b, source, at in zip(rid[first].tolist(), start[first].tolist(), (start[last] + n[last] + window - 1).tolist(), of[first].tolist(), of_start[first].tolist(), strict=True):
+        run = (source, at, texts[r][a:b])
+        if run not in seen:
+            seen.add(run)
+            yield _RUN, int(_slice_of(np.array([source]), slices)[0]), source, 0, at, 0, run[2]
+
+
 def _fetch(buckets: int, window: int):
-    """Texts of the wanted fragments of a slice of documents.
+    """Texts of the wanted fragments, and of the runs of copies, of a slice of documents.
 
     A short common phrase can be the anchor of a different fragment in each of very many documents.
     The fragments of such an anchor are cut into strips, which meet by all the bytes that the strip's
     windows share (78 at least) in place of the anchor's 32; most of them then meet nothing.
     """
 
-    def run(wanted: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    def run(found: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        texts = dict(zip(docs["rid"], docs["text"], strict=True))
+        copies, wanted = found[found["kind"] == _COPIES], found[found["kind"] == _WANTED]
+        if len(copies):
+            rows += _runs_of_copies(copies, texts, buckets, window)
         if len(wanted):
-            texts = dict(zip(docs["rid"], docs["text"], strict=True))
             columns = _unpack(wanted, "rid", "doc", "h", "start", "n", "before")
             for rid, doc, h, start, n, before in zip(*(x.tolist() for x in columns), strict=True):
                 text = texts[rid]
                 if n < _HOT:
-                    rows.append((h % buckets, rid, doc, start, h - (1 << 63), text[start : start + n + window - 1]))
+                    rows.append((_FRAGMENT, h % buckets, rid, doc, start, h - (1 << 63), text[start : start + n + window - 1]))
                     continue
                 anchor = start + before
                 for first, count, strip in _strips(start, n - _HOT, before):
                     shared = text[anchor - strip * _STRIP : anchor - (strip + 1) * _STRIP + 1 + window]
                     key = xxhash.xxh64_intdigest(shared, strip)
-                    rows.append((key % buckets, rid, doc, first, key - (1 << 63), text[first : first + count + window - 1]))
-        return pd.DataFrame(rows, columns=["at", "rid", "doc", "start", "key", "bytes"])
+                    rows.append((_FRAGMENT, key % buckets, rid, doc, first, key - (1 << 63), text[first : first + count + window - 1]))
+        return pd.DataFrame(rows, columns=["kind", "at", "rid", "doc", "start", "key", "bytes"])
 
     return run
 
@@ -323,9 +369,17 @@ _ARRAY = 2_000_000
 
 
 def _compare(slices: int, window: int):
-    """Step 3 for one bucket of anchors."""
+    """Step 3 for one bucket of anchors, and the verification of the runs whose sources are in one slice of documents."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        runs, frame = frame[frame["kind"] == _RUN], frame[frame["kind"] == _FRAGMENT]
+        if len(runs):
+            texts = dict(zip(docs["rid"], docs["text"], strict=True))
+            for rid, start, copy in zip(runs["rid"], runs["start"], runs["bytes"], strict=True):
+                if texts[rid][start : start + len(copy)] != copy:
+                    raise HashCollisionError
+        if not len(frame):
+            return pd.DataFrame([], columns=_NAMES)
         keys, order = frame["key"].to_numpy(), frame[["doc", "rid", "start"]].to_numpy(dtype=np.int64)
         fragments = frame["bytes"].to_numpy()
         by = np.lexsort((order[:, 2], order[:, 1], order[:, 0], keys))
@@ -408,31 +462,33 @@ def _assemble(window: int, whole_characters: bool):
     return run
 
 
-def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, whole_characters: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, whole_characters: bool = False, row_column: str | None = None) -> DataFrame:
     """(rid, id, n_bytes, n_removed, starts, ends, kept): what is removed of every document.
 
     ``starts`` and ``ends`` are the maximal removed runs in bytes, ``kept`` the bytes that remain
     (a cut may fall within a character, unless ``whole_characters`` keeps those in full). A null text is the empty text. Rows with the same
     id stand in the table's order, which is also their order of precedence; null ids come after all
-    others. ``rid`` numbers the rows of docs, which must be a table or otherwise give its rows in a
-    fixed order. An empty table gives an empty result; other columns are not read. Hashes of 128 bits
-    (anchor and fragment) stand for equal fragments.
+    others. ``rid`` numbers the rows of docs (``row_column``, if the caller has numbered them). An
+    empty table gives an empty result; other columns are not read. A task holds one slice of the
+    documents, of about SLICE_BYTES of their files whatever the table's size.
     """
     spark = prepare(docs.sparkSession)
-    text = F.coalesce(docs[text_column], F.lit("")).cast("binary").alias("text")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs[id_column].alias("id"), text)
+    slices = buckets = max(4 * partitions(spark), -(-size_of(docs) // SLICE_BYTES))
+    if row_column is None:
+        row_column = unused(docs, "__rid")
+        docs = numbered(docs, row_column)
+    rows = docs.select(F.col(row_column).alias("rid"), F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     doc = F.coalesce(F.col("id").cast("long"), F.lit(int(_LAST))).alias("doc")
-    buckets = slices = 4 * partitions(spark)
 
     found = rows.select("rid", doc, "text").mapInPandas(_find_anchors(buckets, slices, window), _ROW)
     merged = found.groupBy("at").applyInPandas(_merge_copies(slices), _ROW).checkpoint()
 
     kind = docs.schema[id_column].dataType.simpleString()
     sliced = rows.select(_slice_column(slices).alias("at"), "rid", "id", "text").groupBy("at")
-    wanted = merged.where(F.col("kind") == _WANTED).groupBy("at")
-    fragments = wanted.cogroup(sliced).applyInPandas(_fetch(buckets, window), "at int, rid long, doc long, start long, key long, bytes binary")
-    compared = fragments.groupBy("at").applyInPandas(_compare(slices, window), _ROW)
-    spans = merged.where(F.col("kind") == _SPANS).unionByName(compared).groupBy("at")
+    wanted = merged.where(F.col("kind").isin(_COPIES, _WANTED)).groupBy("at")
+    fetched = wanted.cogroup(sliced).applyInPandas(_fetch(buckets, window), _FETCHED).groupBy("at")
+    compared = fetched.cogroup(sliced).applyInPandas(_compare(slices, window), _ROW)
+    spans = merged.where(F.col("kind").isin(_SPANS, _COPIES)).unionByName(compared).groupBy("at")
     done = spans.cogroup(sliced).applyInPandas(_assemble(window, whole_characters), f"rid long, id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
     return done.withColumnRenamed("id", id_column)
 
