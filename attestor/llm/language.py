@@ -1,34 +1,42 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text's UTF-8 bytes are cut into blocks; one recurrent layer reads each block forwards, another
-backwards, and a linear layer labels every position with a distribution over the languages. The
-document's distribution is the mean over all its positions. Training is plain numpy: cross-entropy
-of every position with the document's language, back-propagated through time, with Adam steps.
+One recurrent layer reads a text's UTF-8 bytes forwards, another backwards, and a linear layer labels
+every position with a distribution over the languages. The document's distribution is the mean over
+all its positions. Training is plain numpy: cross-entropy of every position with the document's
+language, back-propagated through time, with Adam steps.
+
+Texts are read in *lanes*: many texts side by side, each from its first byte to its last. A text longer
+than LANE bytes takes several lanes, each of which is entered WARM bytes before its own first position
+and left as many behind its last, so that its states are those of the whole text but for what the
+network still remembers after so many bytes (the tests compare both). For training, the lanes of the
+sampled texts are cut into blocks of BLOCK steps, each of which starts from the states that the network
+has when it comes to it (read anew in every epoch); gradients go back through a block.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import prepare
+from attestor.llm.common import prepare, unused
 
-#: Bytes of a block: the recurrence starts anew after that many.
-BLOCK = 64
-HIDDEN = 8
-#: Labelled documents that the network is fitted on, at most; blocks taken of each, spread over the whole text.
-TRAINING_ROWS, TRAINING_BLOCKS = 1500, 10
-EPOCHS, BATCH, RATE = 10, 256, 0.02
-#: Blocks scored at once.
-CHUNK = 2048
+#: Bytes of a lane, bytes that it reads before and behind them, and numbers that a group of lanes yields in a direction, about.
+LANE, WARM, GROUP = 2048, 256, 1 << 23
+#: Steps of a block in training, and units of each direction.
+BLOCK, HIDDEN = 64, 16
+#: Labelled documents of each language that the network is fitted on, at most (whole texts).
+TRAINING_ROWS = 150
+EPOCHS, BATCH, RATE = 6, 256, 0.02
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What makes a text more than marks and digits; the same in Python and in Spark's expressions.
+LETTER = r"\p{L}"
+_LETTER = regex.compile(LETTER)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -49,10 +57,10 @@ class Gru:
             "u": (rng.normal(0, 1, (hidden, 3 * hidden)) / np.sqrt(hidden)).astype(f),
         }
 
-    def forward(self, steps: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each step; steps: (length, blocks) of bytes."""
+    def forward(self, steps: np.ndarray, keep: bool = False, state: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States after each step; steps: (length, blocks) of bytes; state: before the first step (none: zero)."""
         H, X, U = self.h, self.p["x"], self.p["u"]
-        state = np.zeros((steps.shape[1], H), dtype=np.float32)
+        state = np.zeros((steps.shape[1], H), dtype=np.float32) if state is None else state
         out, kept = np.empty((*steps.shape, H), dtype=np.float32), []
         for t, b in enumerate(steps):
             a, c = X[b], state @ U
@@ -65,6 +73,37 @@ class Gru:
             out[t] = state = new
         return out, kept
 
+    def read(self, steps: np.ndarray, active: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """States (times weights, if given) after each step of lanes that end one by one: (length, lanes, ...).
+
+        The same as forward(), with the three gates apart, so that each of them is one run of memory; a
+        sigmoid is taken as (1 + tanh(x / 2)) / 2.
+        """
+        H, half = self.h, np.float32(0.5)
+        (xz, xr, xn), (uz, ur, un) = ([np.ascontiguousarray(m[:, k * H : (k + 1) * H] * f) for k, f in enumerate(factors)] for m, factors in ((self.p["x"], (half, half, 1)), (self.p["u"], (half, half, half))))
+        lanes_ = steps.shape[1]
+        out = np.empty((*steps.shape, H if weights is None else weights.shape[1]), dtype=np.float32)
+        buffers = [np.empty((lanes_, H), dtype=np.float32) for _ in range(4)]
+        state = np.zeros((lanes_, H), dtype=np.float32)
+        for t, n in enumerate(active.tolist()):
+            b, state = steps[t, :n], state[:n]
+            z, r, new, a = (x[:n] for x in buffers)
+            for gate, u, x in ((z, uz, xz), (r, ur, xr)):
+                np.matmul(state, u, out=gate)
+                gate += np.take(x, b, axis=0, out=a, mode="clip")
+                np.tanh(gate, out=gate)
+                gate += 1
+            np.matmul(state, un, out=new)
+            new *= r
+            new += np.take(xn, b, axis=0, out=a, mode="clip")
+            np.tanh(new, out=new)
+            state -= new
+            z *= half
+            state *= z
+            state += new
+            out[t, :n] = state if weights is None else state @ weights
+        return out
+
     def backward(self, steps: np.ndarray, kept: list, grad: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the parameters, given those of all states."""
         H, U = self.h, self.p["u"]
@@ -93,41 +132,42 @@ class Network:
         self.ahead, self.back = Gru(rng, hidden), Gru(rng, hidden)
         self.out = {"w": rng.normal(0, 0.3, (2 * hidden, len(languages))).astype(np.float32), "b": np.zeros(len(languages), dtype=np.float32)}
 
-    def positions(self, blocks: np.ndarray, keep: bool = False):
-        """Distribution over languages at every position: (length, blocks, languages)."""
+    def positions(self, blocks: np.ndarray, keep: bool = False, states: tuple[np.ndarray, np.ndarray] | tuple[None, None] = (None, None)):
+        """Distribution over languages at every position: (length, blocks, languages); states: of both directions, before the blocks."""
         steps = np.ascontiguousarray(blocks.T)
-        f, kf = self.ahead.forward(steps, keep)
-        b, kb = self.back.forward(steps[::-1], keep)
+        f, kf = self.ahead.forward(steps, keep, states[0])
+        b, kb = self.back.forward(steps[::-1], keep, states[1])
         both = np.concatenate([f, b[::-1]], axis=2)
-        logits = both @ self.out["w"] + self.out["b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits, out=logits)
-        p /= p.sum(axis=2, keepdims=True)
+        p = _softmax(both @ self.out["w"] + self.out["b"])
         return (p, both, kf, kb, steps) if keep else p
 
-    def gradients(self, blocks: np.ndarray, labels: np.ndarray) -> list[tuple[dict, dict]]:
+    def gradients(self, blocks: np.ndarray, labels: np.ndarray, states: tuple[np.ndarray, np.ndarray] | tuple[None, None] = (None, None)) -> list[tuple[dict, dict]]:
         """(parameters, gradients) pairs for one batch; padding has no part in the loss."""
-        p, both, kf, kb, steps = self.positions(blocks, keep=True)
+        p, both, kf, kb, steps = self.positions(blocks, keep=True, states=states)
         real = (steps < 256).astype(np.float32)[:, :, None]
         p[:, np.arange(len(labels)), labels] -= 1
         d = p * real / real.sum()
         flat = d.reshape(-1, d.shape[2])
         g = {"w": both.reshape(-1, both.shape[2]).T @ flat, "b": flat.sum(axis=0)}
-        states = d @ self.out["w"].T
+        grads = d @ self.out["w"].T
         H = self.ahead.h
-        gf = self.ahead.backward(steps, kf, states[:, :, :H])
-        gb = self.back.backward(steps[::-1], kb, states[::-1, :, H:])
+        gf = self.ahead.backward(steps, kf, grads[:, :, :H])
+        gb = self.back.backward(steps[::-1], kb, grads[::-1, :, H:])
         return [(self.out, g), (self.ahead.p, gf), (self.back.p, gb)]
 
-    def fit(self, blocks: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 4) -> None:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 4) -> None:
+        """Learn every position of the texts."""
         rng, moments, step = np.random.default_rng(seed), {}, 0
-        total = epochs * -(-len(blocks) // BATCH)
+        groups = list(lanes(texts, self.ahead.h))
+        blocks, of = (np.concatenate(x) for x in zip(*(g.blocks() for g in groups), strict=True))
+        labels, total = labels[of], epochs * -(-len(blocks) // BATCH)
         for _ in range(epochs):
+            before = [np.concatenate(x) for x in zip(*(g.block_states(self.ahead, self.back) for g in groups), strict=True)]
             order = rng.permutation(len(blocks))
             for at in range(0, len(order), BATCH):
                 rows, step = order[at : at + BATCH], step + 1
                 now = rate * (1 - step / (total + 1))
-                for part, (params, grads) in enumerate(self.gradients(blocks[rows], labels[rows])):
+                for part, (params, grads) in enumerate(self.gradients(blocks[rows], labels[rows], (before[0][rows], before[1][rows]))):
                     for name, g in grads.items():
                         g = np.clip(g, -1, 1)
                         m, v = moments.setdefault((part, name), (np.zeros_like(g), np.zeros_like(g)))
@@ -137,51 +177,115 @@ class Network:
 
     def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
         """Mean distribution over all positions of each text (an empty text: zeros)."""
-        counts = [-(-len(t) // BLOCK) for t in texts]
-        owner = np.repeat(np.arange(len(texts)), counts)
-        blocks = to_blocks(texts, counts)
-        sums = np.zeros((len(texts), len(self.languages)))
-        for at in range(0, len(blocks), CHUNK):
-            part = blocks[at : at + CHUNK]
-            p = self.positions(part) * (part.T < 256)[:, :, None]
-            by_block = p.sum(axis=0)
-            np.add.at(sums, owner[at : at + CHUNK], by_block)
+        H, w, sums = self.ahead.h, self.out["w"], np.zeros((len(texts), len(self.languages)))
+        for group in lanes(texts, len(self.languages)):
+            ahead = self.ahead.read(group.steps(1), group.active, w[:H]).reshape(-1, w.shape[1])
+            back = self.back.read(group.steps(-1), group.active, w[H:]).reshape(-1, w.shape[1])
+            at, mirrored, first = group.own_positions()
+            p = _softmax(ahead[at] + back[mirrored] + self.out["b"])
+            np.add.at(sums, group.text, np.add.reduceat(p, first, axis=0, dtype=np.float64))
         return sums / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
-def to_blocks(texts: list[bytes], counts: list[int] | None = None) -> np.ndarray:
-    """All blocks of some texts, the last of each padded with 256."""
-    counts = counts or [-(-len(t) // BLOCK) for t in texts]
-    out = np.full((sum(counts), BLOCK), 256, dtype=np.int16)
-    flat, at = out.reshape(-1), 0
-    for t, n in zip(texts, counts, strict=True):
-        flat[at : at + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        at += n * BLOCK
-    return out
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Distributions along the last axis, in place."""
+    logits -= logits.max(axis=-1, keepdims=True)
+    p = np.exp(logits, out=logits)
+    p /= p.sum(axis=-1, keepdims=True)
+    return p
+
+
+class Lanes:
+    """Some lanes, longest first: (text, bytes, first and end of its own positions)."""
+
+    def __init__(self, parts: list[tuple[int, bytes, int, int]]):
+        self.parts = sorted(parts, key=lambda p: -len(p[1]))
+        self.text, self.begin, self.end = (np.array([p[k] for p in self.parts]) for k in (0, 2, 3))
+        self.length = np.array([len(p[1]) for p in self.parts])
+        #: lanes that have a byte at each step
+        self.active = np.searchsorted(-self.length, -np.arange(1, self.length[0] + 1), side="right")
+
+    def steps(self, direction: int) -> np.ndarray:
+        """(length, lanes) of bytes, each lane from its first (1) or its last byte (-1)."""
+        out = np.zeros((len(self.parts), self.length[0]), dtype=np.uint8)
+        for row, (_, data, _, _) in zip(out, self.parts, strict=True):
+            row[: len(data)] = np.frombuffer(data, dtype=np.uint8)[::direction]
+        return np.ascontiguousarray(out.T)
+
+    def own_positions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the lanes' own positions among the steps of both directions, lane by lane, and where each lane's begin."""
+        count, n = self.end - self.begin, len(self.parts)
+        first = np.cumsum(count) - count
+        lane = np.repeat(np.arange(n), count)
+        at = np.arange(len(lane)) - np.repeat(first - self.begin, count)
+        return at * n + lane, (np.repeat(self.length, count) - 1 - at) * n + lane, first
+
+    def _cuts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lane, first byte, end) of the blocks of the lanes' own positions."""
+        count = -(-(self.end - self.begin) // BLOCK)
+        lane = np.repeat(np.arange(len(count)), count)
+        start = self.begin[lane] + BLOCK * (np.arange(len(lane)) - (np.cumsum(count) - count)[lane])
+        return lane, start, np.minimum(start + BLOCK, self.end[lane])
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of each block, short ones padded with 256; its text)."""
+        lane, start, end = self._cuts()
+        out = np.full((len(lane), BLOCK), 256, dtype=np.int16)
+        for row, k, a, b in zip(out, lane.tolist(), start.tolist(), end.tolist(), strict=True):
+            row[: b - a] = np.frombuffer(self.parts[k][1], dtype=np.uint8)[a:b]
+        return out, self.text[lane]
+
+    def block_states(self, ahead: Gru, back: Gru) -> tuple[np.ndarray, np.ndarray]:
+        """States of both directions before each block; at a lane's ends, and where padding comes first, zero."""
+        lane, start, end = self._cuts()
+        out = []
+        for gru, direction, step in ((ahead, 1, start - 1), (back, -1, self.length[lane] - 1 - end)):
+            known = (step >= 0) & ((direction == 1) | (end - start == BLOCK))
+            states = gru.read(self.steps(direction), self.active)[np.maximum(step, 0), lane]
+            out.append(np.where(known[:, None], states, np.float32(0)))
+        return out[0], out[1]
+
+
+def lanes(texts: list[bytes], numbers: int) -> Iterator[Lanes]:
+    """The lanes of some texts, in groups of lanes that are alike in length; numbers: how many each step of a lane yields."""
+    parts = []
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), LANE):
+            low, high = max(0, a - WARM), min(len(t), a + LANE + WARM)
+            parts.append((i, t[low:high], a - low, min(a + LANE, len(t)) - low))
+    parts.sort(key=lambda p: len(p[1]))
+    held = []
+    for part in parts:
+        if held and (len(held) + 1) * len(part[1]) * numbers > GROUP:
+            yield Lanes(held)
+            held = []
+        held.append(part)
+    if held:
+        yield Lanes(held)
 
 
 def fit(rows: Iterable[tuple[str, str]]) -> Network | None:
     """A network from (text, language) rows; None if there are none."""
-    rows = list(rows)
+    rows = [(text.encode("utf-8", "replace"), lang) for text, lang in rows if text]
     if not rows:
         return None
-    languages = sorted({lang for _, lang in rows})
-    blocks, labels = [], []
-    for text, lang in rows:
-        own = to_blocks([text.encode("utf-8", "replace")])
-        own = own[np.unique(np.linspace(0, len(own) - 1, TRAINING_BLOCKS).astype(int))]
-        blocks.append(own)
-        labels += [languages.index(lang)] * len(own)
-    net = Network(languages)
-    net.fit(np.concatenate(blocks), np.array(labels))
+    net = Network(sorted({lang for _, lang in rows}))
+    net.fit([text for text, _ in rows], np.array([net.languages.index(lang) for _, lang in rows]))
     return net
 
 
 def train(docs: DataFrame, keep, bound: int = TRAINING_ROWS) -> Network | None:
-    """Fit on at most ``bound`` documents with a language and a letter for which ``keep`` holds (smallest hashes of doc_id)."""
-    usable = docs.where(keep & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").limit(2 * bound).collect()  # repeated ids are bounded too
+    """Fit on the whole texts of at most ``bound`` documents of each language with a letter, for which ``keep`` holds.
+
+    They are those with the smallest hashes of doc_id (of the text where ids repeat; equal rows count
+    once), so that no language is left out for being rare. Hashes are ranked first; texts are read
+    again for the chosen rows only.
+    """
+    usable = docs.where(keep & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(LETTER)).select("doc_id", "lang", "text", F.xxhash64("text").alias("of"))
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "of"))
+    keys = usable.select("doc_id", "lang", "of").withColumn("rank", rank).where(F.col("rank") <= bound).drop("rank").distinct()
+    rows = usable.join(F.broadcast(keys), ["doc_id", "lang", "of"], "left_semi").dropDuplicates(["doc_id", "lang", "of"])  # keys: ``bound`` rows a language
+    rows = rows.select("doc_id", "text", "lang").collect()
     return fit((r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"], r["lang"])))
 
 
@@ -208,5 +312,5 @@ def predict_documents(docs: DataFrame, net: Network | None) -> DataFrame:
                 scores[rows] = np.clip(p[np.arange(len(rows)), best], 0, 1)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    told = docs.withColumn("_told", predict("text"))
-    return told.withColumn("lang_pred", F.col("_told.lang_pred")).withColumn("score", F.col("_told.score")).drop("_told")
+    told = unused(docs, "__told")
+    return docs.withColumn(told, predict("text")).withColumns({"lang_pred": F.col(f"{told}.lang_pred"), "score": F.col(f"{told}.score")}).drop(told)
