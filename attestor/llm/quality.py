@@ -25,7 +25,7 @@ from attestor.llm.common import prepare
 BITS = 18
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of their id).
 TRAINING_ROWS = 4000
-WORD_MEMORY = 300_000
+WORD_MEMORY = 100_000
 _MASK = np.uint64((1 << BITS) - 1)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _DIGIT = re.compile(r"\d+")
@@ -133,11 +133,15 @@ def score_text(weights: np.ndarray, text: str | None) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, bound: int = TRAINING_ROWS) -> np.ndarray | None:
-    """Fit on at most ``bound`` labelled documents for whose doc_id the condition ``keep`` holds."""
+    """Fit on at most ``bound`` labelled documents for whose doc_id the condition ``keep`` holds.
+
+    They are those with the smallest hashes of doc_id; of a repeated id the text with the smallest hash.
+    """
     order = F.xxhash64("doc_id")
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & keep).select("doc_id", F.col("quality").cast("int").alias("y"))
     chosen = chosen.orderBy(order, "doc_id", "y").limit(bound)  # at most `bound` rows: small enough to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * bound).collect()  # repeated ids are bounded too
+    text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(text).collect()
     return fit((r["text"], r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or "", r["y"])))
 
 
