@@ -1,16 +1,19 @@
-"""Groups of near-duplicate documents: banded minimum hashes bring pairs together, whole shingle sets decide.
+"""Groups of near-duplicate documents: SimHashes and banded minimum hashes bring pairs together, whole shingle sets decide.
 
 Two documents are linked if the Jaccard similarity of their five-word shingle sets is at least 0.8.
 
 1. Documents with equal sets are one class, found by the digest of the set.
-2. Each class has BANDS keys, each of BAND_ROWS minimum hashes. Classes at similarity s share a key with
-   probability 1 - (1 - s^4)^16: 0.9998 at 0.8, more above.
-3. Classes that share a key are compared by their whole sets. A key's classes meet pivots first (another
+2. Each class has the SimHash of its shingles. Classes whose SimHashes are at most four bits apart meet by
+   the vantage-point trees of simhash.near_links(). At similarity 0.8 that is rarely so (SimHashes then
+   differ in ten bits of 64 on average, and a tree of that radius prunes nothing), hence:
+3. Each class also has BANDS keys, each of BAND_ROWS minimum hashes. Classes at similarity s share a key
+   with probability 1 - (1 - s^4)^16: 0.9998 at 0.8, more above.
+4. Classes that share a key are compared by their whole sets. A key's classes meet pivots first (another
    one for each key and round), which makes no pairs within a group; classes that links have joined are
    not compared again. What PIVOT_ROUNDS leave apart is compared pair by pair, so that no pair of a key is
    left undecided: N classes that share a key and are *not* alike still make up to N^2 / 2 pairs.
 
-Sets are of 40-bit hashes. Only classes that share a key have their sets written.
+Sets are of 40-bit hashes. Only classes that meet another one have their sets written.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from attestor.llm.bitset import bitset, only_possible
 from attestor.llm.common import cut, prepare
 from attestor.llm.components import components
-from attestor.llm.sketch import shingle_hashes
+from attestor.llm.simhash import majority, near_links
+from attestor.llm.sketch import distinct_hashes, shingle_hashes, shingles
 
 LEAST = 0.8
 BANDS, BAND_ROWS = 16, 4
@@ -62,15 +66,17 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(id, set1, set2, n, bands) of (id, text)."""
+    """(id, set1, set2, n, fp, bands) of (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_hashes(t or "") for t in batch["text"]]
+            hashes = [shingles(t or "") for t in batch["text"]]
+            sets = [distinct_hashes(h) for h in hashes]
+            fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
             digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]).reshape(-1, 2)
-            yield pd.DataFrame({"id": batch["id"], "set1": digests[:, 0], "set2": digests[:, 1], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({"id": batch["id"], "set1": digests[:, 0], "set2": digests[:, 1], "n": [len(s) for s in sets], "fp": fps, "bands": [band_keys(s) for s in sets]})
 
-    return rows.mapInPandas(run, "id long, set1 long, set2 long, n long, bands array<long>")
+    return rows.mapInPandas(run, "id long, set1 long, set2 long, n long, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -101,11 +107,25 @@ def _members(classes: DataFrame) -> DataFrame:
     return cut(only_possible(keys, F.col("key"), bitset(shared, F.col("key"))).join(shared, "key", "left_semi").select("key", "id", "n"))
 
 
-def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (u, v), spanning the components of all alike pairs that share a key."""
-    spark = members.sparkSession
-    links = tested = spark.createDataFrame([], "u long, v long")
-    now = members.withColumn("root", F.col("id"))
+def _by_simhash(firsts: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes that hang together by equal or near SimHashes: a class with the first of its SimHash, firsts of linked SimHashes."""
+    fps = firsts.groupBy("fp").agg(F.min("id").alias("head")).checkpoint()
+    equal = firsts.join(fps, "fp").where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
+    of = lambda c, name: fps.select(F.col("fp").alias(c), F.col("head").alias(name))
+    near = near_links(fps.select("fp")).join(of("u", "a"), "u").join(of("v", "b"), "v")
+    return equal.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct()
+
+
+def _joined(now: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the roots that the links give them."""
+    roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "to")
+    return now.join(roots, "id", "left").select("key", "id", "n", F.coalesce("to", "id").alias("root"))
+
+
+def _links(members: DataFrame, sets: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Links (u, v), spanning the components of all alike pairs that share a key or are ``known`` to be near."""
+    tested, links = known, cut(_alike(known, sets, least))
+    now = _joined(members, links)
     for k in range(PIVOT_ROUNDS + 1):
         live = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         now = cut(now.join(live, "key", "left_semi").select("key", "id", "n", "root"))
@@ -124,8 +144,7 @@ def _links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         links = links.unionByName(cut(_alike(pairs, sets, least)))
         if k < PIVOT_ROUNDS:
             tested = tested.unionByName(pairs)
-            roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "to")
-            now = now.drop("root").join(roots, "id", "left").select("key", "id", "n", F.coalesce("to", "id").alias("root"))
+            now = _joined(now.drop("root"), links)
     return links
 
 
@@ -133,7 +152,7 @@ def near_documents(docs: DataFrame, id_column: str, text_column: str = "text", l
     """(id, component_id): every document with the smallest id that links lead to.
 
     Ids are distinct longs. Null texts and texts without words have the empty set and are one class.
-    docs is read twice and must be a table or otherwise give its rows in a fixed order; an empty
+    docs is read twice, so the ids must be the same in both readings (common.numbered()); an empty
     table gives an empty result; other columns are not read.
     """
     prepare(docs.sparkSession)
@@ -141,9 +160,9 @@ def near_documents(docs: DataFrame, id_column: str, text_column: str = "text", l
     all_ = _classes(rows).checkpoint()
     same = all_.groupBy("set1", "set2").agg(F.min("id").alias("first")).checkpoint()
     firsts = all_.join(same.select(F.col("first").alias("id")), "id", "left_semi")
-    members = _members(firsts)
-    ids = cut(members.select("id").distinct())
+    members, known = _members(firsts), cut(_by_simhash(firsts.select("id", "fp")))
+    ids = cut(members.select("id").unionByName(known.select(F.col("u").alias("id"))).unionByName(known.select(F.col("v").alias("id"))).distinct())
     sets = _sets(only_possible(rows, F.xxhash64("id"), bitset(ids, F.xxhash64("id"))).join(ids, "id", "left_semi")).checkpoint()
-    roots = components(_links(members, sets, least)).withColumnRenamed("node", "first")
+    roots = components(_links(members, sets, known, least)).withColumnRenamed("node", "first")
     named = same.join(roots, "first", "left").select("set1", "set2", F.coalesce("root", "first").alias("component_id"))
     return all_.select("id", "set1", "set2").join(named, ["set1", "set2"]).select(F.col("id").alias(id_column), "component_id")

@@ -37,6 +37,17 @@ LEAF = 48
 _CHUNK = 1 << 16
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes; zero of none."""
+    votes = sum((_votes(hashes[k : k + _CHUNK]) for k in range(0, len(hashes), _CHUNK)), np.zeros(64, dtype=np.int64))
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash of a text's word shingles (A-Z lower-cased, words split at ASCII white space)."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -49,7 +60,7 @@ def simhash(text: str | None, size: int = SHINGLE_WORDS) -> int:
     votes, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
     for k in range(0, len(first), _CHUNK):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[k : k + _CHUNK], last[k : k + _CHUNK], strict=True)], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        votes += _votes(h)
     return int(np.packbits(2 * votes > len(first), bitorder="little").view("<u8")[0])
 
 

@@ -31,7 +31,7 @@ SCALE = 4
 _LIMIT = np.uint64((1 << HASH_BITS) // SCALE)
 _WIDTH = HASH_BITS // 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-WORD_MEMORY = 300_000
+WORD_MEMORY = 100_000
 
 
 class _Words(dict):
@@ -47,16 +47,17 @@ class _Words(dict):
 _words = _Words()
 
 
-def _finish(h: np.ndarray) -> np.ndarray:
+def spread(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes whose bits are all mixed."""
     h = h ^ (h >> np.uint64(32))
     h = h * _B
     h = h ^ (h >> np.uint64(29))
     h = h * _B
-    return (h ^ (h >> np.uint64(32))) >> np.uint64(64 - HASH_BITS)
+    return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 40-bit hashes of a text's shingles (lower case, split at white space; a text of fewer words is one shingle, an empty one none)."""
+def shingles(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order (lower case, split at white space; a text of fewer words is one shingle, an empty one none)."""
     words = text.lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
@@ -66,7 +67,17 @@ def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     for k in range(size):
         h = (h ^ w[k : len(w) - size + 1 + k]) * _A
         h ^= h >> np.uint64(31)
-    return np.unique(_finish(h))
+    return spread(h)
+
+
+def distinct_hashes(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct 40-bit hashes of shingles."""
+    return np.unique(h >> np.uint64(64 - HASH_BITS))
+
+
+def shingle_hashes(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The set of a text's shingles."""
+    return distinct_hashes(shingles(text, size))
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
