@@ -51,10 +51,12 @@ def test_repeated_rows_and_clashing_columns(spark, documents, name):
 
 def test_vectors(spark, documents):
     good = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0], [-1.0, 0.0]]
-    bad = [None, [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 0.0], [1.0]]
+    bad = [None, [0.0, 0.0], [None, 1.0], [float("nan"), 1.0], [float("inf"), 0.0]]
     rows = [(i, v, 0) for i, v in enumerate(good + bad)] + [(50, [1.0, 0.0], 0), (50, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)]
+    rows += [(100, [1.0, 0.0, 0.0], 0), (101, [0.0, 2.0, 0.0], 0), (150, [7.0], 0)]  # each length is a space of its own
     got = Q.op10_hilbert_ann(spark, documents(rows, VECTORS, "embeddings")).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 3), (0, 2, 50), (0, 3, 2), (0, 4, 1), (0, 5, 4), (50, 1, 0), (50, 2, 3), (50, 3, 2), (50, 4, 1), (50, 5, 4)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got][10:] == [(100, 1, 101, 0.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got][:10] == [(0, 1, 3), (0, 2, 50), (0, 3, 2), (0, 4, 1), (0, 5, 4), (50, 1, 0), (50, 2, 3), (50, 3, 2), (50, 4, 1), (50, 5, 4)]
     assert got[0]["score"] == 1.0 and abs(got[2]["score"] - 0.5**0.5) < 1e-15
     assert Q.op10_hilbert_ann(spark, documents([], VECTORS, "embeddings")).count() == 0
     assert Q.op10_hilbert_ann(spark, documents([(1, [1.0, 2.0], 0)], VECTORS, "embeddings")).count() == 0

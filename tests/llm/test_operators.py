@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -71,13 +72,59 @@ def test_packing_is_whole_gapless_and_tight(spark):
     assert room == 0
 
 
+def plain_level(counts, size, window):
+    """The level by trying all: least sum of squares, then the fuller window."""
+    tried = []
+    for level in range(window - size + 1):
+        if level == 0 or counts[level]:
+            after = list(counts)
+            if level:
+                after[level] -= 1
+            if level + size < window:
+                after[level + size] += 1
+            tried.append((sum(c * c for c in after[1:]), -level))
+    return -min(tried)[1]
+
+
 def test_sum_of_squares_choice():
-    packer = packing.LevelPacker(10)
-    for n in (6, 6, 4, 3):
-        packer.place(n, n)
-    # two windows at 6, then the 4 closes one of them; 3 goes where the squares stay least
-    assert sum(packer.counts) == len([1 for level in packer.open.values() for _ in level])
-    assert [sum(p) for p in [[len(x[2]) for x in w] for w in packing.cut_rest([(0, 0, np.arange(7), 7), (1, 0, np.arange(6), 6)], 10)]] == [10, 2, 1]
+    rng = random.Random(6)
+    packer, counts = packing.LevelPacker(12), [0] * 13
+    for k in range(400):
+        size = rng.choice([1, 2, 3, 5, 7, 7, 7, 11, 12])
+        level = plain_level(counts, size, 12)
+        assert packer.level_for(size) == level
+        closed = packer.place([(k, 0, np.zeros(size, dtype=np.int32), size)])
+        if level:
+            counts[level] -= 1
+        if level + size < 12:
+            counts[level + size] += 1
+        assert len(closed) == (level + size == 12) and packer.counts.tolist() == counts
+    assert [[len(x[2]) for x in w] for w in packing.cut_rest([(0, 0, np.arange(7), 7), (1, 0, np.arange(6), 6)], 10)] == [[7, 3], [2], [1]]
+
+
+def test_open_windows_are_bounded():
+    """Pieces that never fit each other are cut, and lose nothing."""
+    packer, out = packing.LevelPacker(100, most_open=5), []
+    for k in range(200):
+        out += packer.place([(k, 0, np.full(60, k, dtype=np.int32), 60)])
+        assert packer.opened <= 5 and packer.opened == sum(packer.counts) == sum(map(len, packer.open.values()))
+    pieces = [p for w in [*out, *packer.rest()] for p in w]
+    assert all(sum(len(p[2]) for p in w) == 100 for w in out)
+    for k in range(200):
+        mine = sorted((p[1], len(p[2])) for p in pieces if p[0] == k)
+        assert [a for a, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1]] and sum(n for _, n in mine) == 60
+
+
+def test_leftovers_of_all_partitions_meet(spark, documents):
+    """Many small partitions: only the last packer's rest is cut again."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 900))) for _ in range(600)]
+    got = packing.pack_documents(spark.read.parquet(f"{documents(rows_of(texts), files=40)}/documents.parquet").repartition(40), public_tokenizers.path("byte_bpe_50k.json"), window=64).toPandas()
+    assert got.groupby("sequence_id")["length"].sum().drop(got[got.recut].sequence_id.unique()).eq(64).all()
+    assert got[got.recut]["length"].sum() < 0.1 * got["length"].sum()
+    for doc, pieces in got.groupby("doc_id"):
+        pieces = pieces.sort_values("start")
+        assert pieces.start.tolist() == [0, *np.cumsum(pieces["length"])[:-1]] and pieces["length"].sum() == pieces.doc_tokens.iloc[0]
 
 
 def shingles(text, k=5):
@@ -133,16 +180,19 @@ def one_edit(a, b):
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute_lines(texts, least=5):
+def brute_lines(texts, least=5, least_chars=20):
     seen, out = [], []
     for text in texts:
         kept = []
         for line in (text or "").split("\n"):
             w = line.split(" ")
-            if len(w) < least or not any(one_edit(w, v) for v in seen):
+            near = lambda other, v: other == line or min(len(w), len(v)) >= least and one_edit(w, v) or min(len(line), len(other)) >= least_chars and one_edit(line, other)  # noqa: B023, E731
+            if not line.strip(" \t\r"):
+                kept.append(line)
+                continue
+            if not any(near(*s) for s in seen):
                 kept.append(line)
-            if len(w) >= least:
-                seen.append(w)
+            seen.append((line, w))
         out.append((len((text or "").split("\n")), "\n".join(kept)))
     return out
 
@@ -158,7 +208,15 @@ def test_lines_equal_brute_force(spark, documents):
             w = rng.choice([w[:i] + ["z"] + w[i:], w[:i] + w[i + 1 :], w[:i] + ["y"] + w[i + 1 :]])
         return " ".join(w)
 
-    texts = ["\n".join(vary(rng.choice(base)) for _ in range(rng.randint(0, 6))) for _ in range(60)] + AWKWARD
+    joined = ["".join(rng.choice("ab é日😀") for _ in range(rng.randint(17, 26))) for _ in range(12)]
+
+    def by_char(line):
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(line) + 1)
+            line = rng.choice([line[:i] + "x" + line[i:], line[:i] + line[i + 1 :], line[:i] + " " + line[i + 1 :]])
+        return line
+
+    texts = ["\n".join(rng.choice([vary(rng.choice(base)), by_char(rng.choice(joined)), rng.choice(["", " \t", "ab"])]) for _ in range(rng.randint(0, 6))) for _ in range(90)] + [t if t is None else t[:3000] for t in AWKWARD]
     docs = spark.read.parquet(f"{documents(rows_of(texts))}/documents.parquet")
     got = {r["doc_id"]: (r["n_lines"], r["kept"]) for r in line_dedup.drop_repeated_lines(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute_lines(texts)
@@ -302,6 +360,27 @@ def test_neighbours_reach_the_recall(spark, documents):
         assert hit / 600 >= 0.9
 
 
+@pytest.mark.parametrize("sizes", [(8, 2, 10**6), (4, 3, 20)])
+def test_both_passes_find_all_in_the_windows(spark, monkeypatch, sizes):
+    """The lower bound loses nothing: the lists are those of the windows, taken by brute force; also where chunks are split."""
+    for name, size in zip(("RANGE_ROWS", "CHUNK_RANGES", "BLOCK_ROWS"), sizes, strict=True):
+        monkeypatch.setattr(ann, name, size)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 10))
+    curves = ann.Curves(x, 400 // sizes[0])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    queries = points.where("id % 20 = 0").withColumnRenamed("id", "q")
+    at, cosine = curves.ranges(x), (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    for width in (0, 3, 9):
+        found = {}
+        for r in ann.window_lists(points, queries, curves, width, 4, 400).collect():
+            found.setdefault(r["q"], []).append((-r["score"], r["id"]))
+        for q in range(0, 400, 20):
+            seen = np.flatnonzero((np.abs(at - at[:, q][:, None]) <= width).any(axis=0))
+            want = sorted(seen.tolist(), key=lambda i: -cosine[q, i])[:4]
+            assert [i for _, i in sorted(found[q])[:4]] == want
+
+
 def test_best_of_breaks_ties_by_id():
     v = np.array([[1.0, 0], [2.0, 0], [0, 1.0], [1.0, 0]])
     (rows, scores), = ann.best_of(np.array([[3.0, 0]]), np.array([9, 7, 1, 8]), v, 2)
@@ -320,11 +399,87 @@ def test_quality_on_held_out_rows():
 def test_language_on_held_out_rows():
     con = duckdb.sql("select doc_id, text, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall()
     fold = lambda d: zlib.crc32(str(d).encode()) % 5
-    net = language.fit([(t, lang) for d, t, lang in con if fold(d) and lang and t][:500])
+    net = language.fit([(t, lang) for d, t, lang in con if fold(d) and lang and t][:400])
     held = [(t, lang) for d, t, lang in con if not fold(d) and t]
     p = net.document_probabilities([t.encode() for t, _ in held])
     assert np.mean([net.languages[i] == lang for i, (_, lang) in zip(p.argmax(axis=1), held, strict=True)]) > 0.95
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    # the recurrence over each whole text, byte by byte
+    texts = [t.encode() for t, _ in sorted(held, key=lambda x: len(x[0]))]
+    texts = [b"x", *texts[:20], *texts[-3:]]
+    off = np.abs(net.document_probabilities(texts) - np.array([plain_bigru(net, t) for t in texts])).max(axis=1)
+    assert max(d for d, t in zip(off, texts, strict=True) if len(t) <= language.LANE) < 1e-4 and off.max() < 0.01  # several lanes: all but what is remembered longer
+
+
+def plain_bigru(net, text):
+    """Mean distribution over a text's positions, one step after another."""
+
+    def states(gru, data):
+        h, out, H = np.zeros(gru.h), [], gru.h
+        for byte in data:
+            a, c = gru.p["x"][byte].astype(np.float64), h @ gru.p["u"].astype(np.float64)
+            z, r = (1 / (1 + np.exp(-(a[k * H : (k + 1) * H] + c[k * H : (k + 1) * H]))) for k in (0, 1))
+            new = np.tanh(a[2 * H :] + r * c[2 * H :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return np.array(out)
+
+    both = np.concatenate([states(net.ahead, text), states(net.back, text[::-1])[::-1]], axis=1)
+    logits = both @ net.out["w"] + net.out["b"]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def test_language_query_columns(spark, documents):
+    """held_out, und, labels and scores of the query, computed again without Spark; rows of the fold never teach."""
+    rows = [(i, t, lang if i % 7 else None, "s", 0) for i, t, lang in small_documents()[:120]]
+    rows += [(1000, None, "en", "s", 0), (1001, "² ½ ① 12", "en", "s", 0), (1002, "", None, "s", 0), (1003, "!?", "fr", "s", 0), (1004, "é", None, "s", 0), (1, rows[1][1], rows[1][2], "s", 0)]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 5
+    got = Q.op5_byte_bigru(spark, documents(rows)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    teach = {(d, t, lang) for d, t, lang, _, _ in rows if fold(d) and lang and t and regex.search(r"\p{L}", t)}
+    net = language.fit((t, lang) for d, t, lang in sorted(teach, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1], r[2])))
+    for r in got:
+        text = next(t for d, t, *_ in rows if d == r["doc_id"])
+        assert r["held_out"] == (fold(r["doc_id"]) == 0)
+        if r["doc_id"] in (1000, 1001, 1002, 1003):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            p = net.document_probabilities([text.encode()])[0]
+            assert r["lang_pred"] == net.languages[int(p.argmax())] and r["score"] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_training_sample_is_the_same_for_any_order(spark):
+    """Repeated ids with different texts and equal rows: the same rows teach, however the table lies; every language has its share."""
+    rows = [(i % 50, f"text {i % 60} {'abc'[i % 3]}", ["en", "fr"][i % 9 == 0]) for i in range(600)]
+    taught = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(5)
+        seen = []
+        monkey = language.fit
+        try:
+            language.fit = lambda got: seen.extend(got)  # noqa: B023
+            language.train(docs, docs.doc_id >= 0, bound=20)
+        finally:
+            language.fit = monkey
+        taught.append(seen)
+    assert taught[0] == taught[1] and {lang for _, lang in taught[0]} == {"en", "fr"} and len(taught[0]) == 40
+
+
+def test_quality_query_columns(spark, documents):
+    """held_out, score and predicted of the query, computed again without Spark."""
+    rows = [(i, t, lang, "s", 0) for i, t, lang in small_documents()[:150]] + [(900, None, None, None, None), (901, "", None, None, None)]
+    labels = [(i, None if i % 11 == 0 else (i * 7 // 3) % 2, 0) for i in range(150)] + [(900, 1, 0)]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 4
+    folder = documents(rows)
+    documents(labels, "doc_id long, quality int, toxic int", "labels")
+    got = {r["doc_id"]: r for r in Q.op6_quality_ftrl(spark, folder).collect()}
+    texts, y = {r[0]: r[1] for r in rows}, {d: q for d, q, _ in labels if q is not None and fold(d) != 2}
+    weights = quality.fit((texts[d], y[d]) for d in sorted(y, key=lambda d: (zlib.crc32(str(d).encode()), texts[d] or "", y[d])))
+    assert len(got) == len(rows)
+    for d, r in got.items():
+        score = quality.score_text(weights, texts[d])
+        assert r["held_out"] == (fold(d) == 2) and r["score"] == pytest.approx(score, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
 
 
 def test_gradients_through_time():
@@ -401,11 +556,57 @@ def test_copies_of_lines_of_any_length(spark, documents):
     import corpus_pipeline
 
     texts = ["Les.\n\nAnd ornd.\n同じ行です", "Les.\n \n\nAnd ornd\n同じ行です\na\tb\tc", "one two three four five\na\tb\tc\nAnd ornd.", *[t for t in AWKWARD if t is None or len(t) < 1000], "one two three four six\nLes."]
+    texts += ["twentycharactersofthis", "twentycharacters ofthis\ntwentycharactersofthat"]
     folder = documents(rows_of(texts))
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeated_lines(spark, docs, folder).collect()}
-    assert kept[0] == texts[0] and kept[1] == " \n\nAnd ornd\na\tb\tc" and kept[2] == "one two three four five" and kept[len(texts) - 1] == ""
+    assert kept[0] == texts[0] and kept[1] == " \n\nAnd ornd\na\tb\tc" and kept[2] == "one two three four five" and kept[len(texts) - 3] == ""
+    assert kept[len(texts) - 2] == texts[-2] and kept[len(texts) - 1] == "twentycharactersofthat"
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
-    got = [tuple(r) for r in Q.op4_every_line(spark, folder).collect()]
-    assert sorted(got) == sorted(con.execute(Q.ORACLES["op4_every_line"]).fetchall())
+    got = [tuple(r) for r in Q.op4_line_dedup(spark, folder).collect()]
+    assert sorted(got) == sorted(con.execute(Q.ORACLES["op4_line_dedup"]).fetchall())
+
+
+def test_row_numbers_do_not_depend_on_splits(spark, documents):
+    """Numbers, and what operators do by them, are the same when a later reading makes other splits."""
+    from attestor.llm.common import numbered
+
+    rng = random.Random(2)
+    lines = [f"line {i} with a few words of its own" for i in range(60)]
+    texts = ["\n".join(rng.sample(lines, 4)) for _ in range(120)]
+    docs = spark.read.parquet(f"{documents(rows_of(texts), files=40)}/documents.parquet")
+    setting, found = "spark.sql.leafNodeDefaultParallelism", []
+    try:
+        for leaves in ("2", "16"):
+            spark.conf.set(setting, leaves)
+            rows = numbered(docs, "number").select("doc_id", "number")
+            found.append((rows.rdd.getNumPartitions(), sorted(map(tuple, rows.collect()))))
+        assert found[0][0] != found[1][0] and found[0][1] == found[1][1] and len({n for _, n in found[0][1]}) == 120
+        for operator in (lambda: line_dedup.drop_repeated_lines(docs), lambda: suffix_dedup.find_repeats(docs, window=64)):
+            spark.conf.set(setting, "2")
+            planned = operator()  # reads once
+            spark.conf.set(setting, "16")
+            later = sorted((r["doc_id"], bytes(r["kept"]) if isinstance(r["kept"], bytearray) else r["kept"]) for r in planned.collect())
+            spark.conf.set(setting, "2")
+            assert later == sorted((r["doc_id"], bytes(r["kept"]) if isinstance(r["kept"], bytearray) else r["kept"]) for r in operator().collect())
+    finally:
+        spark.conf.unset(setting)
+    shuffled = docs.repartition(7).select("doc_id", "text")  # no files: numbered once and written
+    assert len({r["n"] for r in numbered(shuffled, "n").collect()}) == 120
+
+
+def test_copies_are_verified_by_their_bytes(spark, documents, monkeypatch):
+    """Weak hashes that take different fragments for equal raise an error instead of cutting text."""
+    monkeypatch.setattr(suffix_dedup, "anchors", lambda data, window: (np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64), np.zeros(1, dtype=np.int64)))
+    found = suffix_dedup._find_anchors(4, 4, 100)
+    frame = lambda *texts: __import__("pandas").DataFrame({"rid": range(len(texts)), "doc": range(len(texts)), "text": [t.encode() for t in texts]})
+    assert len(list(found(iter([frame("a" * 100, "a" * 100)]))))
+    with pytest.raises(suffix_dedup.HashCollisionError):
+        list(found(iter([frame("a" * 100, "b" * 100)])))
+    run = __import__("pandas").DataFrame([(suffix_dedup._RUN, 0, 5, 0, 2, 0, b"abc")], columns=["kind", "at", "rid", "doc", "start", "key", "bytes"])
+    compare = suffix_dedup._compare(4, 100)
+    docs = lambda text: __import__("pandas").DataFrame({"rid": [5], "text": [text]})
+    assert not len(compare(run, docs(b"xxabcx")))
+    with pytest.raises(suffix_dedup.HashCollisionError):
+        compare(run, docs(b"xxabdx"))
