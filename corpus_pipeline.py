@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, repeated lines, near-duplicate documents, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of docs. Stages read docs twice or more and number its rows, so docs must be a table (Parquet).
+of docs. Stages read docs twice or more; rows are told apart by their file and place (common.numbered).
 Extra columns are carried along; null texts stay null where a stage changes texts; empty tables give
 empty results.
 """
@@ -15,58 +15,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import line_dedup, near_documents, packing, quality, suffix_dedup
-from attestor.llm.common import fold, prepare, table
+from attestor.llm.common import fold, numbered, prepare, table, unused
 
 #: Scores below go.
 KEEP_SCORE = 0.7
-_ROW = "__pipeline_row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(*[docs[c] for c in docs.columns], F.monotonically_increasing_id().alias(_ROW))
-
-
-def _with_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs with new texts and their lengths; kept: (row, new_text)."""
-    kept = kept.withColumnRenamed("row", _ROW)
-    rest = _numbered(docs).withColumn("__pipeline_null", F.col("text").isNull()).drop("text")
-    joined = rest.join(kept, _ROW).withColumn("text", F.when(~F.col("__pipeline_null"), F.col("__pipeline_text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
+def _with_texts(rows: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """Numbered rows with new texts and their lengths, without their numbers; kept: (row, text)."""
+    columns, was_null, text = [c for c in rows.columns if c != row], unused(rows, "__was_null"), unused(rows, "__text")
+    new = kept.select(F.col(kept.columns[0]).alias(row), F.col(kept.columns[1]).alias(text))
+    joined = rows.withColumn(was_null, F.col("text").isNull()).drop("text").join(new, row)
+    joined = joined.withColumn("text", F.when(~F.col(was_null), F.col(text)))
+    if "n_chars" in columns:
+        kind = rows.schema["n_chars"].dataType
         joined = joined.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return joined.select(*[joined[c] for c in docs.columns])
+    return joined.select(*[joined[c] for c in columns])
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (trained as in query op6)."""
+    """Documents that the quality classifier does not reject (trained as in query op6).
+
+    Null and empty texts are judged by the bias alone; without a labelled row all documents stay.
+    Repeated rows have equal fates; an empty table gives an empty one.
+    """
     weights = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     return docs.where(quality.scorer(spark, weights)(docs["text"]) >= KEEP_SCORE)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without lines that stand, equal or nearly so, in an earlier place."""
-    done = line_dedup.drop_repeated_lines(docs, copies_from=1)
-    return _with_texts(docs, done.select(F.col("uid").alias("row"), F.col("kept").alias("__pipeline_text")))
+    row = unused(docs, "__row")
+    rows = numbered(docs, row)
+    return _with_texts(rows, row, line_dedup.drop_repeated_lines(rows, row_column=row).select("uid", "kept"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate documents (0.8 of their five-word shingles) the one with the smallest id (null ids last, then by row)."""
-    rows = _numbered(docs)
-    groups = near_documents.near_documents(rows, id_column=_ROW)
-    ids = rows.select(_ROW, F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(_ROW).alias("row")).alias("first"))
-    first = groups.select(_ROW, "component_id").join(ids, _ROW).groupBy("component_id").agg(F.min("first").alias("first"))
-    chosen = first.select(F.col("first.row").alias(_ROW))
-    return rows.join(chosen, _ROW, "left_semi").select(*[rows[c] for c in docs.columns])
+    row = unused(docs, "__row")
+    rows = numbered(docs, row)
+    groups = near_documents.near_documents(rows, id_column=row)
+    ids = rows.select(row, F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("first"))
+    first = groups.select(row, "component_id").join(ids, row).groupBy("component_id").agg(F.min("first").alias("first"))
+    chosen = first.select(F.col("first.row").alias(row))
+    return rows.join(chosen, row, "left_semi").select(*[rows[c] for c in docs.columns])
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without passages that also stand in an earlier place (whole characters only)."""
-    done = suffix_dedup.find_repeats(docs, whole_characters=True)
-    return _with_texts(docs, done.select(F.col("rid").alias("row"), F.col("kept").cast("string").alias("__pipeline_text")))
+    row = unused(docs, "__row")
+    rows = numbered(docs, row)
+    done = suffix_dedup.find_repeats(rows, whole_characters=True, row_column=row)
+    return _with_texts(rows, row, done.select("rid", F.col("kept").cast("string")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows, with their token ids."""
+    """Pieces of all documents in windows, with their token ids.
+
+    A null or empty text has its end alone; repeated rows are packed each on its own; an empty table
+    gives an empty result.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
