@@ -161,15 +161,44 @@ def test_containment_of_unequal_documents():
     assert sketch.containment(small, large) == 1.0 and sketch.containment(large, small) == pytest.approx(0.05, abs=0.02)
 
 
+#: The usual form of the MIT statement: wrapped, with marks and capitals.
+MIT = """Copyright (c) 2019 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
 def test_licenses_equal_sql(spark, documents):
     from attestor.llm import license_scan
 
+    rng = random.Random(12)
     texts = [*AWKWARD, "CC-BY and cc by", "general public license general public license", "released under\nthe mit license", "This is Released, under THE MIT-License", "license mit the under released", "the gnu general public license version 3 work is licensed"]
+    texts += [MIT, "w " * 700 + MIT + " w" * 900, MIT.replace("merge, ", "").replace("persons", "people"), " ".join(MIT.split()[:30])]
+    texts += ["we have the right to reserve all books; rights are reserved for all", "released books under many covers; the mit press holds no license", "all the rights of mit reserved under license released", "ma\u212ae software \u0130t"]
+    for _, statement in license_scan.TEMPLATES:
+        w = statement.split()
+        texts.append(" ".join(["x", *w, "y"]))
+        for _ in range(3):  # foreign words between, words left out: on both sides of the threshold
+            now = list(w)
+            for _ in range(rng.randint(0, len(w) // 3)):
+                i = rng.randrange(len(now))
+                now = rng.choice([now[:i] + ["foreign"] + now[i:], now[:i] + now[i + 1 :] or now])
+            texts.append("\n".join([" ".join(["pad"] * rng.randint(0, 400)), " ".join(now), "pad " * rng.randint(0, 400)]))
+    folder = documents(rows_of(texts))
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{documents(rows_of(texts))}/documents.parquet/*.parquet'")
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
     want = con.execute(license_scan.oracle()).fetchall()
-    got = [tuple(r) for r in Q.op1_license_scan(spark, documents(rows_of(texts))).collect()]
-    assert sorted(got) == sorted(want) and any("mit" in r[6] for r in got)
+    got = {r["doc_id"]: tuple(r) for r in Q.op1_license_scan(spark, folder).collect()}
+    assert sorted(got.values()) == sorted(want)
+    found = lambda text: got[texts.index(text)][6:]
+    assert found(MIT) == ("mit", 1.0) and found("released under\nthe mit license") == ("mit", 1.0)
+    assert found("we have the right to reserve all books; rights are reserved for all") == ("", 0.0)
+    for label, statement in license_scan.TEMPLATES:
+        assert label in got[texts.index(f"x {statement} y")][6].split(",")
 
 
 def one_edit(a, b):
