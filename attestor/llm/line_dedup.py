@@ -8,11 +8,13 @@ changed, inserted or left out. Blank lines, which part paragraphs, stay.
 1. Equal lines meet by a hash of 128 bits; the first one stands for all.
 2. If two lines are one edit apart, the edit leaves the first or the last half of the tokens as it
    was. Lines that share no half with a different line therefore have no partner and are set aside.
-3. Every other line emits its *variants*: itself, and itself without each one of its tokens, as hashed
-   keys. A key is a sum over (token, place after the deletion), so all of a line's variants come from
-   running sums, in time linear in the line.
-4. Lines that share a variant are one edit apart if the deleted places agree, or if one of the two
-   deleted nothing. Each line therefore needs the earliest line of its variant groups only, which is a
+3. The others are cut into blocks of some few tokens. An edit lies in one block and leaves all before
+   and behind it as it was: two lines one edit apart share the hash of that *frame*, and what the frame
+   encloses is one edit apart.
+4. Lines that share a frame emit their *variants* there: the enclosed tokens, and the enclosed tokens
+   without each one of them, as hashed keys. Lines that share a variant are one edit apart if the
+   deleted places agree (a change), or if one of the two, longer by one, deleted and the other did not
+   (an insertion). Each line therefore needs the earliest line of its variant groups only, which is a
    combined minimum: no pairs within a group are made, however large.
 5. That earliest line is compared token by token, which settles the edit distance.
 
@@ -21,7 +23,7 @@ Only DataFrame functions are used. Lines are told apart by (id, row, place).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.bitset import bitset, only_possible, with_test
@@ -30,10 +32,11 @@ from attestor.llm.common import cut, numbered, prepare, unused
 #: Least words of a line for an edit of a word, and least characters for an edit of a character.
 MIN_WORDS, MIN_CHARS = 5, 20
 _BY_WORD, _BY_CHAR = 0, 1
-_MASK = (1 << 40) - 1  # sums of 2^23 tokens fit in a long
+#: Blocks of a line, at least, and tokens of a block, at most.
+BLOCKS, BLOCK_TOKENS = 16, 64
 _LAST = (1 << 63) - 1
 _AT = ["doc", "uid", "pos"]
-_KEY = ["kind", "length", "key1", "key2"]
+_FRAME = ["kind", "base", "block", "frame"]
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -46,43 +49,57 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
-def _halves(min_words: int, min_chars: int) -> Column:
-    """Hashes of the first and last halves that an edit may leave whole (for partners of any length); some may be null."""
+def _kinds(min_words: int, min_chars: int) -> dict:
+    """By kind of edit: tokens of a line, the least that take part, and its first and last so many tokens."""
     line = F.col("line")
-    parts = {
+    return {
         _BY_WORD: (F.col("words"), min_words, lambda m: F.call_function("substring_index", line, F.lit(" "), m), lambda m: F.call_function("substring_index", line, F.lit(" "), -m)),
         _BY_CHAR: (F.col("chars"), min_chars, lambda m: F.left(line, m), lambda m: F.right(line, m)),
     }
+
+
+def _halves(min_words: int, min_chars: int) -> Column:
+    """Hashes of the first and last halves that an edit may leave whole (for partners of any length); some may be null."""
     out = []
-    for kind, (n, least, first, last) in parts.items():
+    for kind, (n, least, first, last) in _kinds(min_words, min_chars).items():
         both = lambda m: (F.xxhash64(F.lit(2 * kind), m, first(m)), F.xxhash64(F.lit(2 * kind + 1), m, last(m)))  # noqa: E731, B023
         more, less = F.shiftright(n - 1, 1), F.shiftright(n - 2, 1)
         out += [F.when(n >= least, key) for key in both(more)] + [F.when((n >= least) & (more != less), key) for key in both(less)]
     return F.array(*out)
 
 
-def _tokens(candidates: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """One row per token: doc, uid, pos, kind, n (tokens of the line), k, token."""
-    as_ = lambda kind, n, least, tokens: F.when(n >= least, F.struct(F.lit(kind).alias("kind"), n.alias("n"), tokens.alias("tokens")))
-    both = F.array(as_(_BY_WORD, F.col("words"), min_words, F.split("line", " ")), as_(_BY_CHAR, F.col("chars"), min_chars, F.split("line", "")))
-    return candidates.select(*_AT, F.inline(F.array_compact(both))).select(*_AT, "kind", "n", F.posexplode("tokens").alias("k", "token"))
+def _blocks(base: Column) -> Column:
+    return F.greatest(F.lit(BLOCKS), F.ceil(base / BLOCK_TOKENS).cast("int"))
+
+
+def _border(block: Column, base: Column) -> Column:
+    return F.floor(block.cast("long") * base / _blocks(base)).cast("int")
+
+
+def _frames(candidates: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """(doc, uid, pos, n, kind, base, block, frame): what surrounds each block, for partners of equal length or longer (base = n) and shorter ones (base = n - 1)."""
+    out = None
+    for kind, (n, least, first, last) in _kinds(min_words, min_chars).items():
+        rows = candidates.where(n >= least).select(*_AT, "line", n.alias("n"), F.explode(F.array(n, n - 1)).alias("base"))
+        base = F.col("base")
+        around = lambda b: F.xxhash64(first(_border(b, base)), F.lit(kind), last(base - _border(b + 1, base)))  # noqa: E731, B023
+        frames = F.transform(F.sequence(F.lit(0), _blocks(base) - 1), around)
+        rows = rows.select(*_AT, "n", F.lit(kind).alias("kind"), "base", F.posexplode(frames).alias("block", "frame"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _variants(candidates: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """(doc, uid, pos, kind, length, key1, key2, gone): the line itself (gone = -1), and without token ``gone``."""
-    tokens, before = _tokens(candidates, min_words, min_chars), F.col("k") - 1
-    sums = {
-        "a1": F.xxhash64("token", "k"), "a2": F.xxhash64("k", "token"),  # at its own place
-        "b1": F.xxhash64("token", before), "b2": F.xxhash64(before, "token"),  # moved up by one
-    }
-    of = ["uid", "pos", "doc", "kind", "n"]
-    tokens = tokens.select(*of, "k", *[c.bitwiseAND(F.lit(_MASK)).alias(name) for name, c in sums.items()])
-    line = Window.partitionBy(*of)
-    ahead = line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    key = lambda i: F.sum(f"b{i}").over(line) - F.col(f"b{i}") + F.coalesce(F.sum(F.col(f"a{i}") - F.col(f"b{i}")).over(ahead), F.lit(0))
-    without = tokens.select(*_AT, "kind", (F.col("n") - 1).alias("length"), key(1).alias("key1"), key(2).alias("key2"), F.col("k").alias("gone"))
-    whole = tokens.groupBy(*of).agg(F.sum("a1").alias("key1"), F.sum("a2").alias("key2"))
-    return without.unionByName(whole.select(*_AT, "kind", F.col("n").alias("length"), "key1", "key2", F.lit(-1).alias("gone")))
+def _variants(frames: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc, uid, pos, kind, base, block, frame, n, key, gone): the tokens that a frame encloses (gone = -1), and without token ``gone``."""
+    b, base, n = F.col("block"), F.col("base"), F.col("n")
+    low, high = _border(b, base), _border(b + 1, base) + n - base
+    tokens = F.when(F.col("kind") == _BY_WORD, F.split("line", " ")).otherwise(F.split("line", ""))
+    inner = frames.join(candidates.select("uid", "pos", "line"), ["uid", "pos"]).select(*_AT, *_FRAME, "n", F.slice(tokens, low + 1, high - low).alias("inner"))
+    key = lambda x, k: F.struct(k.alias("gone"), F.xxhash64(F.concat(F.slice(x, 1, k), F.slice(x, k + 2, F.size(x)))).alias("key"))
+    deleted = F.when(F.size("inner") > 0, F.transform(F.sequence(F.lit(0), F.size("inner") - 1), lambda k: key(F.col("inner"), k)))
+    whole = F.when(n == base, F.array(F.struct(F.lit(-1).alias("gone"), F.xxhash64("inner").alias("key"))))  # a longer line deletes always
+    none = F.array().cast("array<struct<gone:int,key:bigint>>")
+    return inner.select(*_AT, *_FRAME, "n", F.inline(F.concat(F.coalesce(deleted, none), F.coalesce(whole, none))))
 
 
 def _one_word_apart(a: str, b: str) -> Column:
@@ -122,16 +139,16 @@ def _near(rows: DataFrame, lines: DataFrame, later: DataFrame, min_words: int, m
     places = cut(_semi(lines.select("h1", "uid", "pos"), chosen, "h1").join(later, ["uid", "pos"], "left_anti").select("uid", "pos"))
     candidates = cut(_semi(_lines(rows), places, "uid", "pos"))
 
-    variants = _variants(candidates, min_words, min_chars)
+    frames = _frames(candidates, min_words, min_chars).checkpoint()
     one = F.xxhash64("uid", "pos")
-    several = variants.groupBy(*_KEY).agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select(*_KEY)
-    met = cut(variants.join(several, _KEY).withColumn("at", F.struct(*_AT)))
-    deleted, whole = met.where("gone >= 0"), met.where("gone < 0")
-    same_place = deleted.groupBy(*_KEY, "gone").agg(F.min("at").alias("by"))
-    any_place = deleted.groupBy(*_KEY).agg(F.min("at").alias("by"))
-    none = whole.groupBy(*_KEY).agg(F.min("at").alias("by"))
-    links = deleted.join(same_place, [*_KEY, "gone"]).select("kind", "at", "by")
-    links = links.unionByName(deleted.join(none, _KEY).select("kind", "at", "by")).unionByName(whole.join(any_place, _KEY).select("kind", "at", "by"))
+    several = lambda rows, *by: rows.groupBy(*by).agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select(*by)
+    frames = cut(frames.join(several(frames, *_FRAME), _FRAME))
+    variants = cut(_variants(frames, candidates).withColumn("at", F.struct(*_AT)))
+    changed, longer, whole = variants.where("n = base AND gone >= 0"), variants.where("n > base"), variants.where("gone < 0")
+    first = lambda rows, *by: rows.groupBy(*by).agg(F.min("at").alias("by"))
+    key = [*_FRAME, "key"]
+    links = [changed.join(first(changed, *key, "gone"), [*key, "gone"]), longer.join(first(whole, *key), key), whole.join(first(longer, *key), key)]
+    links = links[0].select("kind", "at", "by").unionByName(links[1].select("kind", "at", "by")).unionByName(links[2].select("kind", "at", "by"))
     links = links.where("by < at").groupBy("kind", "at").agg(F.min("by").alias("by")).select("kind", "at.uid", "at.pos", F.col("by.uid").alias("by_uid"), F.col("by.pos").alias("by_pos"))
     a, b = candidates.select("uid", "pos", F.struct("words", "line").alias("a")), candidates.select(F.col("uid").alias("by_uid"), F.col("pos").alias("by_pos"), F.struct("words", "line").alias("b"))
     return links.join(a, ["uid", "pos"]).join(b, ["by_uid", "by_pos"]).where(_one_edit("a", "b")).select("uid", "pos").distinct()
