@@ -96,6 +96,26 @@ def resamples(rows: DataFrame, count: int = RESAMPLES, seed: int = BOOTSTRAP_SEE
     return draws.join(numbered, "k").drop("k")
 
 
+def bootstrap_by(rows: DataFrame, by: str, count: int = RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """(by, n, metric, value, ci_low, ci_high): metrics with intervals of each slice, resampled within it.
+
+    Draw i of resample r in a slice of n rows is row (first 32 bits of md5("seed:slice:r:i")) mod n in the
+    order of the ids. The AUROC of a slice without both classes is null.
+    """
+    numbered = global_row_number(rows.select(by, "id", "y", "pred", "score"), by, "id", name="k")
+    slices = numbered.groupBy(by).agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    placed = numbered.join(F.broadcast(slices), by).withColumn("k", F.col("k") - F.col("first")).drop("first")  # a row for each slice
+    draws = placed.select(by, "n", F.col("k").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("r"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), by, F.col("r").cast("string"), F.col("i").cast("string")).cast("binary"))
+    drawn = draws.withColumn("k", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), "n")).drop("n").join(placed.drop("id", "n"), [by, "k"])
+    rank = lambda *within: F.row_number().over(Window.partitionBy(by, *within[:-1]).orderBy("score", within[-1]))
+    measured = lambda df, *keys: df.groupBy(by, *keys).agg(F.count("*").alias("n"), *cells(F.col("y"), F.col("pred")), *_auc_of(F.col("rn"))).select(by, "n", *from_cells(), _auc().alias("auroc"))
+    names = [*METRICS, "auroc"]
+    ci = measured(drawn.withColumn("rn", rank("r", "i")), "r").groupBy(by).agg(*[c for m in names for c in _interval(m)])
+    point = measured(placed.drop("n").withColumn("rn", rank("id")))
+    return point.join(ci, by).select(by, "n", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"{m}_low").alias("ci_low"), F.col(f"{m}_high").alias("ci_high")) for m in names])))
+
+
 def _interval(name: str) -> list[Column]:
     # draws without both classes have no AUROC and take no part in its bounds
     bounds = F.percentile(name, F.array(F.lit(0.025), F.lit(0.975)))
