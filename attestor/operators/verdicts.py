@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attestor import schemas
 from attestor.functions.scalars import verdict_score
 from attestor.operators.prompt import build_prompts
+from attestor.operators.ranking import global_row_number
 from attestor.session import prepare
 
 #: Failure labels in the order of the checks, keys and directions of a verdict.
@@ -96,9 +97,10 @@ def price(model: Column, input_tokens: Column, output_tokens: Column, prices: di
 
 
 def last_answers(verdicts: DataFrame, sequence: str) -> DataFrame:
-    """Of each asset the answer with the highest sequence number."""
-    newest = verdicts.groupBy("sha256").agg(F.max(sequence).alias(sequence))
-    return verdicts.join(newest, ["sha256", sequence])
+    """Of each asset the answer with the highest sequence number; of several with that number the one with the largest fields, once."""
+    rest = [c for c in verdicts.columns if c not in ("sha256", sequence)]
+    newest = verdicts.groupBy("sha256").agg(F.max(F.struct(sequence, *rest)).alias("last"))
+    return newest.select(*[F.col("sha256") if c == "sha256" else F.col(f"last.{c}") for c in verdicts.columns])
 
 
 def verdict_track(order: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -181,22 +183,27 @@ def reason(assets: DataFrame, store: DataFrame, make_backend: Callable[[], objec
     return grounded.join(replies.drop("reply"), "sha256").withColumn("cost_usd", cost).select(*schemas.VERDICT.names)
 
 
-def run_batch(split: str, frame: DataFrame, store: DataFrame, out: str, make_backend: Callable[[], object], model: str = "", prices: dict | None = None, limit: int | None = None) -> DataFrame:
+def run_batch(split: str, frame: DataFrame, store: DataFrame, out: str, make_backend: Callable[[], object], model: str = "", prices: dict | None = None, limit: int | None = None, flush: int = 1000) -> DataFrame:
     """Answer what ``out`` (a folder of JSON lines) does not answer yet, append, and report one row.
 
-    ``limit`` takes the first assets by sha256; 0 or None takes all.
+    Answers are appended after every ``flush`` assets, in the order of sha256: a failure loses what is
+    not appended yet, and the next run goes on from there. ``limit`` takes the first assets by sha256; 0
+    or None takes all.
     """
     spark = frame.sparkSession
     assets = frame.select("sha256").orderBy("sha256").limit(limit) if limit else frame.select("sha256")
-    done = read_verdicts(spark, out)
-    skipped = done.select("sha256").distinct().count()
-    todo = assets.join(done.select("sha256").distinct(), "sha256", "left_anti")
-    new = reason(todo, store, make_backend, model, prices or {}).checkpoint()
-    new.write.mode("append").json(out)
-    total = assets.count()
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cost_usd", "input_tokens", "output_tokens")]
-    report = new.agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("parse_failures"), *sums)
-    return report.select(F.lit(split).alias("split"), F.lit(total).cast("long").alias("total"), F.lit(skipped).cast("long").alias("skipped"), *report.columns)
+    done = read_verdicts(spark, out).select("sha256").distinct().checkpoint()
+    todo = global_row_number(assets.join(done, "sha256", "left_anti"), "sha256").checkpoint()
+    sums = ["calls", "parse_failures", "cost_usd", "input_tokens", "output_tokens"]
+    spent = dict.fromkeys(sums, 0)
+    for first in range(0, todo.count(), flush):
+        new = reason(todo.where(F.col("rn").between(first + 1, first + flush)).select("sha256"), store, make_backend, model, prices or {}).checkpoint()
+        new.write.mode("append").json(out)
+        row = new.agg(F.count("*").alias("calls"), F.count(F.when(~F.col("ok"), 1)).alias("parse_failures"), *[F.sum(c).alias(c) for c in sums[2:]]).first()
+        spent = {c: spent[c] + (row[c] or 0) for c in sums}
+    types = {f.name: f.dataType for f in schemas.BATCH_REPORT.fields}
+    known = {"split": split, "total": assets.count(), "skipped": done.count(), **spent}
+    return spark.range(1).select(*[F.lit(known[c]).cast(types[c]).alias(c) for c in schemas.BATCH_REPORT.names])
 
 
 def read_verdicts(spark, path: str) -> DataFrame:
