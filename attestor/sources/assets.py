@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import os
+import shutil
+import urllib.request
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -16,6 +20,7 @@ from pyspark.sql import functions as F
 from attestor import schemas
 from attestor.functions.scalars import classify, content_hash, has_asset_suffix, scene_of
 from attestor.session import prepare
+from attestor.sources import jpeg
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -55,6 +60,46 @@ class TruncatedDownloadError(OSError):
         self.url, self.expected, self.actual = url, expected, actual
 
 
+def fetch(url: str, path: str) -> str:
+    """Copy a URL to a file of the driver's disk, by way of ``path.part``; fewer bytes than announced raise and leave nothing."""
+    part = f"{path}.part"
+    try:
+        with urllib.request.urlopen(url) as source, open(part, "wb") as to:  # noqa: S310
+            announced = source.headers.get("Content-Length")
+            shutil.copyfileobj(source, to, 1 << 20)
+        size = os.path.getsize(part)
+        if announced is not None and int(announced) != size:
+            raise TruncatedDownloadError(url, int(announced), size)
+        os.replace(part, path)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+    return path
+
+
+def ensure_file(url: str, expected: str, folder: str) -> str:
+    """The file of a URL in a folder of the driver, fetched if need be, with the expected SHA-256.
+
+    A marker beside it tells that this was verified before; a file with another hash is deleted and raises.
+    """
+    path = os.path.join(folder, url.rsplit("/", 1)[-1])
+    marker = f"{path}.verified"
+    if os.path.exists(path) and os.path.exists(marker):
+        with open(marker, encoding="utf-8") as f:
+            if f.read().strip() == expected:
+                return path
+    if not os.path.exists(path):
+        fetch(url, path)
+    with open(path, "rb") as f:
+        actual = hashlib.file_digest(f, "sha256").hexdigest()
+    if actual != expected:
+        os.remove(path)
+        raise ChecksumMismatchError(url, expected, actual)
+    with open(marker, "w", encoding="utf-8") as f:
+        f.write(expected)
+    return path
+
+
 def checksum_violations(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(url, expected, actual) where a file's content (name, content) is absent or has another hash; expected: (url, sha256)."""
     have = files.select("name", content_hash(F.col("content")).alias("actual"))
@@ -112,43 +157,60 @@ def scan_assets(files: DataFrame, source: str, license_: str, measure=None) -> D
 
 
 def decode_gray(content: bytes) -> np.ndarray:
-    """Gray values 0..255 of a binary PGM or PPM, or of an 8-bit PNG without interlacing."""
+    """Gray values 0..255 of a binary PGM or PPM, a plain 8-bit PNG, or a sequential JPEG (its luminance)."""
+    if content[:2] == b"\xff\xd8":
+        return jpeg.luminance(content)
     if content[:2] in (b"P5", b"P6"):
         fields, at = [], 2
         while len(fields) < 3:
             line = content.index(b"\n", at)
             fields += content[at:line].split(b"#")[0].split()
             at = line + 1
-        w, h, _ = map(int, fields)
-        planes = np.frombuffer(content, dtype=np.uint8, offset=at).reshape(h, w, -1)
+        w, h, most = map(int, fields)
+        kind = np.uint8 if most < 256 else np.dtype(">u2")
+        planes = np.frombuffer(content, dtype=kind, offset=at).reshape(h, w, -1) * (255.0 / most)
     elif content[:8] == b"\x89PNG\r\n\x1a\n":
         planes = _png(content)
     else:
         raise ValueError("this image format needs another decoder")
-    x = planes.astype(np.float64)
+    x = np.rint(planes.astype(np.float64))
     return x[:, :, 0] if x.shape[2] < 3 else np.floor((x[:, :, 0] * 299 + x[:, :, 1] * 587 + x[:, :, 2] * 114) / 1000 + 0.5)
 
 
 def _png(content: bytes) -> np.ndarray:
-    at, data, head = 8, b"", None
+    at, data, head = 8, [], b""
     while at < len(content):
         size, kind = int.from_bytes(content[at : at + 4]), content[at + 4 : at + 8]
         body = content[at + 8 : at + 8 + size]
         head = body if kind == b"IHDR" else head
-        data += body if kind == b"IDAT" else b""
+        data += [body] if kind == b"IDAT" else []
         at += 12 + size
     w, h, depth, colour, interlaced = int.from_bytes(head[:4]), int.from_bytes(head[4:8]), head[8], head[9], head[12]
     if depth != 8 or colour not in (0, 2, 4, 6) or interlaced:
         raise ValueError("only plain 8-bit PNG is decoded here")
     step = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(h, 1 + w * step)
-    out = np.zeros((h + 1, (w + 1) * step), dtype=np.int64)  # a row above and a pixel to the left of zeros
-    for y in range(h):
-        line, above, now = raw[y, 1:].astype(np.int64), out[y], out[y + 1]
-        for x in range(w * step):
-            a, b, c = now[x], above[x + step], above[x]
-            kind = raw[y, 0]
-            p = a + b - c
-            nearest = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
-            now[x + step] = (line[x] + (0, a, b, (a + b) // 2, nearest)[kind]) & 255
-    return out[1:, step:].reshape(h, w, step).astype(np.uint8)
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), dtype=np.uint8).reshape(h, 1 + w * step)
+    out, above = np.empty((h, w, step), dtype=np.uint8), np.zeros((w, step), dtype=np.uint8)
+    for y, row in enumerate(raw):
+        above = out[y] = _unfilter(row[0], row[1:].reshape(w, step), above)
+    return out
+
+
+def _unfilter(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """One row of a PNG (pixels x channels) from its filtered form; only the last two kinds need a walk along the row."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line, axis=0, dtype=np.uint8)
+    if kind == 2:
+        return line + above
+    out, left, corner = np.empty_like(line), np.zeros(line.shape[1], dtype=np.int64), np.zeros(line.shape[1], dtype=np.int64)
+    for x, (value, up) in enumerate(zip(line.astype(np.int64), above.astype(np.int64), strict=True)):
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            far = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+            guess = np.choose(far.argmin(axis=0), [left, up, corner])  # the nearest of the three, the first of equals
+        left, corner = (value + guess) & 255, up
+        out[x] = left
+    return out
