@@ -196,6 +196,21 @@ def a10_metrics_by_type(spark, d):
     return metrics.basic_metrics(t.predictions(spark, d), "manipulation").select(*_show("manipulation"))
 
 
+_BY_TYPE = f"""WITH {p_sql()}, k AS (SELECT *, row_number() OVER (PARTITION BY manipulation ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY manipulation) AS total FROM p),
+i AS (SELECT manipulation, r, k AS i, ('0x' || md5('{metrics.BOOTSTRAP_SEED}:' || manipulation || ':' || r || ':' || k)[1:8])::BIGINT % total AS k FROM k, (SELECT unnest(range({metrics.RESAMPLES})) AS r)),
+x AS (SELECT manipulation, r, y, pred, row_number() OVER (PARTITION BY manipulation, r ORDER BY score, i) AS rn FROM i JOIN k USING (manipulation, k)),
+c AS (SELECT manipulation, r, {_CELLS}, {_AUC} AS auroc FROM x GROUP BY manipulation, r), m AS (SELECT manipulation, {_VALUES}, auroc FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY manipulation ORDER BY score, id) AS rn FROM p), b AS (SELECT manipulation, {_CELLS}, {_AUC} AS auroc FROM o GROUP BY manipulation), q AS (SELECT manipulation, n, {_VALUES}, auroc FROM b)
+""" + " UNION ALL ".join(f"SELECT manipulation, any_value(q.n) AS n, '{m}' AS metric, round(any_value(q.{m}), 6) AS value, round(quantile_cont(m.{m}, 0.025), 6) AS ci_low, round(quantile_cont(m.{m}, 0.975), 6) AS ci_high FROM q JOIN m USING (manipulation) GROUP BY manipulation" for m in [*metrics.METRICS, "auroc"])
+
+
+@query(_BY_TYPE)
+def a10_intervals_by_type(spark, d):
+    """A10: every metric of every type with its interval; no AUROC where a class is missing."""
+    found = metrics.bootstrap_by(t.predictions(spark, d), "manipulation")
+    return found.select("manipulation", "n", "metric", *[_round(c, c) for c in ("value", "ci_low", "ci_high")])
+
+
 @query(f"WITH {p_sql()}, r AS (SELECT *, row_number() OVER (ORDER BY score, id) AS rn FROM p) SELECT round({_AUC}, 6) AS auroc FROM r")
 def w1_rank_auroc(spark, d):
     return metrics.rank_auc(t.predictions(spark, d)).select(_round("auroc", "auroc"))
@@ -617,11 +632,45 @@ def j7_prediction_track(spark, d):
     return verdicts.prediction_track(order, rows.select(F.col("id").cast("string").alias("sha256"), "score")).select("id", "y", "pred", _round("score", "score"))
 
 
+def _files(spark, d, source):
+    """Documents as image files of a source: paths by number, contents the texts."""
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    case = lambda *names: F.when(i % 4 == 0, names[0]).when(i % 4 == 1, names[1]).when(i % 4 == 2, names[2]).otherwise(names[3])
+    named = {
+        "cifake": case(F.concat(F.lit("fake/a_"), n, F.lit(".png")), F.concat(F.lit("real/b.c_"), n, F.lit(".JPG")), F.concat(F.lit("real/note_"), n, F.lit(".txt")), F.concat(F.lit("fake/"), n, F.lit(".jpeg"))),
+        "micc_f220": case(F.concat(F.lit("x/CRW_"), n, F.lit("tamp1.jpg")), F.concat(F.lit("x/DSC"), n, F.lit("_scale.png")), F.concat(F.lit("x/-Tamp"), n, F.lit(".jpg")), F.concat(F.lit("x/"), n, F.lit(".gif"))),
+    }[source]
+    rows = t.table(spark, d, "documents").select(named.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return rows.withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+
+_SUFFIX = "lower(regexp_extract(name, '(\\.[^./]*)$', 1)) IN (" + ", ".join(f"'{x}'" for x in fn.SUFFIXES) + ")"
+
+
+@query(f"""WITH n AS (SELECT sha256(coalesce(text, '')) AS sha256, doc_id,
+  CASE doc_id % 4 WHEN 0 THEN 'fake/a_' || doc_id || '.png' WHEN 1 THEN 'real/b.c_' || doc_id || '.JPG' WHEN 2 THEN 'real/note_' || doc_id || '.txt' ELSE 'fake/' || doc_id || '.jpeg' END AS cifake,
+  CASE doc_id % 4 WHEN 0 THEN 'x/CRW_' || doc_id || 'tamp1.jpg' WHEN 1 THEN 'x/DSC' || doc_id || '_scale.png' WHEN 2 THEN 'x/-Tamp' || doc_id || '.jpg' ELSE 'x/' || doc_id || '.gif' END AS micc FROM documents),
+f AS (SELECT sha256, 'cifake' AS source, cifake AS path FROM n UNION ALL SELECT sha256, 'micc_f220', micc FROM n),
+g AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[-2] AS parent FROM f)
+SELECT sha256, source, path, CASE WHEN (source = 'cifake' AND parent = 'fake') OR (source <> 'cifake' AND contains(lower(name), 'tamp')) THEN 'manipulated' ELSE 'authentic' END AS label,
+  CASE WHEN source = 'cifake' AND parent = 'fake' THEN 'ai_generated' WHEN source <> 'cifake' AND contains(lower(name), 'tamp') THEN 'copy_move' ELSE 'none' END AS manipulation,
+  CASE WHEN (source = 'cifake' AND parent = 'fake') OR (source <> 'cifake' AND contains(lower(name), 'tamp')) THEN 1 ELSE 0 END AS y,
+  source || ':' || CASE WHEN source = 'cifake' THEN regexp_replace(name, '\\.[^.]*$', '') WHEN regexp_matches(name, '^[A-Za-z]*_?[0-9]+') THEN regexp_extract(name, '^([A-Za-z]*_?[0-9]+)', 1) ELSE name END AS scene
+FROM g WHERE {_SUFFIX}""")
+def s8_file_scan(spark, d):
+    """Files of two sources, by suffix, with label, type, scene and hash."""
+    from attestor.sources import assets as files
+
+    scans = [files.scan_assets(_files(spark, d, source), source, "mit") for source in ("cifake", "micc_f220")]
+    return scans[0].unionByName(scans[1]).select("sha256", "source", "path", "label", "manipulation", fn.binary_label(F.col("label")).alias("y"), "scene")
+
+
 @query()
 def m5_batch_scores(spark, d):
-    """M2-M5: a perceptron on embeddings against a label's parity, scored in batch (held-out accuracy is tested on separable data)."""
+    """A head on embeddings against a label's parity, with the operator's own settings; seven tenths of the rows teach, the others choose the rate and the epoch."""
     from attestor.operators import classifier
 
     rows = t.table(spark, d, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("y"), F.col("embedding").alias("features"))
-    model, _ = classifier.sweep(rows, rows, rates=[1e-3], hidden=[16], epochs=15)
-    return classifier.score(model, rows)
+    part = F.crc32(F.col("id").cast("string").cast("binary")) % 10
+    head, _ = classifier.sweep(rows.where(part < 7), rows.where(part >= 7))
+    return classifier.score(head, rows)

@@ -215,6 +215,16 @@ def test_batch_resumes_and_counts(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 4
 
 
+def test_answers_are_kept_when_a_later_one_fails(spark, tmp_path):
+    frame = spark.createDataFrame([("a",), ("b",), ("z",)], "sha256 string")
+    out = str(tmp_path / "verdicts")
+    run = lambda frame: verdicts.run_batch("val", frame, signal_rows(spark), out, lambda: verdicts.ScriptedBackend(["nonsense"]), flush=2)
+    with pytest.raises(Exception, match="no measurements for z"):
+        run(frame)
+    assert sorted(r["sha256"] for r in verdicts.read_verdicts(spark, out).collect()) == ["a", "b"]
+    assert run(frame.where("sha256 <> 'z'")).first()["skipped"] == 2
+
+
 def test_retries():
     calls, waits = [], []
 
@@ -445,13 +455,196 @@ def test_report(spark):
     assert "absent" in report.render(report.summarize(split, scores, split, scores))
 
 
-def test_classifier(spark):
+def separable(spark, n=400):
     rng = np.random.default_rng(0)
-    rows = [(i, i % 2, (rng.normal(size=4) + (i % 2) * 2).tolist()) for i in range(200)]
+    rows = [(i, i % 2, (rng.normal(size=4) + (i % 2) * 2).tolist()) for i in range(n)]
     data = spark.createDataFrame(rows, "id int, y int, features array<double>")
-    model, history = classifier.sweep(data, data, rates=[1e-3, 1e-2], hidden=[8], epochs=20)
-    assert len(history) == 2 and metrics.basic_metrics(classifier.score(model, data)).first()["accuracy"] > 0.85
-    assert classifier.early_stop([0.1, 0.5, 0.4, 0.4, 0.4, 0.4, 0.4, 0.9]) == 7
+    return rows, data.where("id < 300"), data.where("id >= 300")
+
+
+def test_head_gradients():
+    rng = np.random.default_rng(1)
+    head, x, y = classifier.Head(5, [4, 3]), rng.normal(size=(9, 5)), rng.integers(0, 2, 9).astype(float)
+    loss, g = head.gradient(x, y)
+    p = 1 / (1 + np.exp(-head.logits(x)))
+    assert loss == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    for k in range(len(head.flat)):
+        around = []
+        for step in (1e-6, -1e-6):
+            head.flat[k] += step
+            around.append(head.gradient(x, y)[0])
+            head.flat[k] -= step
+        assert (around[0] - around[1]) / 2e-6 == pytest.approx(g[k], abs=1e-6)
+
+
+def test_classifier(spark, tmp_path):
+    """Rates matter, training stops by patience on rows of its own, the best epoch wins, and a frozen head cannot change."""
+    rows, train, val = separable(spark)
+    head, history = classifier.sweep(train, val, rates=[1e-4, 1e-2], hidden=[8], epochs=25, patience=3, batch=32)
+    by_rate = {r: [h for h in history if h["rate"] == r] for r in (1e-4, 1e-2)}
+    assert by_rate[1e-4][0]["train_loss"] != by_rate[1e-2][0]["train_loss"] and by_rate[1e-2][-1]["train_loss"] < by_rate[1e-2][0]["train_loss"]
+    for run in by_rate.values():
+        f1 = [h["val_macro_f1"] for h in run]
+        best = f1.index(max(f1))
+        assert len(run) == min(25, best + 1 + 3)  # three epochs without a better one end it
+    scored = classifier.score(head, val)
+    top = max(h["val_macro_f1"] for h in history)
+    assert metrics.basic_metrics(scored).first()["macro_f1"] == pytest.approx(top) and top > 0.85
+    x = np.array([r[2] for r in rows[300:]])
+    assert np.allclose([r["score"] for r in scored.orderBy("id").collect()], 1 / (1 + np.exp(-head.logits(x))))
+    path = str(tmp_path / "head")
+    digest = classifier.freeze(spark, head, path)
+    assert np.array_equal(classifier.load_frozen(spark, path, digest).flat, head.flat)
+    with pytest.raises(classifier.FrozenModelError):
+        classifier.load_frozen(spark, path, "0")
+    with pytest.raises(Exception, match="exists"):
+        classifier.freeze(spark, head, path)
+
+
+def test_training_in_one_partition_is_plain(spark):
+    """One partition: the same as mini-batches of Adam in a loop."""
+    rows, train, val = separable(spark)
+    head, _ = classifier.sweep(train.coalesce(1), val, rates=[3e-3], hidden=[6], epochs=2, patience=9, batch=64, dropout=0.0)
+    x, y = np.array([r[2] for r in rows[:300]]), np.array([r[1] for r in rows[:300]], dtype=float)
+    plain, m, v, step, kept = classifier.Head(4, [6]), 0.0, 0.0, 0, []
+    for epoch in range(2):
+        order = np.random.default_rng([classifier.SEED, epoch, 0, 0]).permutation(300)
+        for at in range(0, 300, 64):
+            g, step = plain.gradient(x[order[at : at + 64]], y[order[at : at + 64]])[1], step + 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            plain.flat = plain.flat - 3e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        kept.append(plain.flat)
+    assert any(np.allclose(head.flat, k, atol=1e-12) for k in kept)
+
+
+def jpeg_bytes(gray, quality, chroma=False, restart=0):
+    """A sequential JPEG with flat code tables (every code has eight bits)."""
+    from attestor.sources.jpeg import ZIGZAG
+
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    table = np.clip((np.array(kernels.LUMINANCE) * scale + 50) // 100, 1, 255)
+    h, w = gray.shape
+    symbols = sorted({r << 4 | n for r in range(16) for n in range(11)})
+    segment = lambda marker, body: bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2) + body
+    counts = bytes([0] * 7 + [len(symbols)] + [0] * 8)
+    codes = b"".join(bytes([number]) + counts + bytes(symbols) for number in (0, 16))
+    parts = [(1, 0x22 if chroma else 0x11)] + ([(2, 0x11), (3, 0x11)] if chroma else [])
+    out = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes(table[ZIGZAG].tolist())) + segment(0xC4, codes)
+    out += segment(0xC0, bytes([8]) + h.to_bytes(2) + w.to_bytes(2) + bytes([len(parts)]) + b"".join(bytes([n, s, 0]) for n, s in parts))
+    if restart:
+        out += segment(0xDD, restart.to_bytes(2))
+    out += segment(0xDA, bytes([len(parts)]) + b"".join(bytes([n, 0]) for n, _ in parts) + bytes([0, 63, 0]))
+    unit = 16 if chroma else 8
+    full = np.pad(gray, ((0, -h % unit), (0, -w % unit)), mode="edge") - 128.0
+    c, bits, data, before = kernels._cosines(), "", b"", {}
+
+    def put(symbol, value, size):
+        return f"{symbols.index(symbol):08b}" + (f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else "")
+
+    def block(values, name):
+        size = lambda x: int(abs(x)).bit_length()
+        step = int(values[0]) - before.get(name, 0)
+        before[name] = int(values[0])
+        text, run = put(size(step), step, size(step)), 0
+        for x in values[ZIGZAG][1:].tolist():
+            if x == 0:
+                run += 1
+                continue
+            while run > 15:
+                text += put(0xF0, 0, 0)
+                run -= 16
+            text += put(run << 4 | size(x), x, size(x))
+            run = 0
+        return text + (put(0, 0, 0) if run else "")
+
+    close = lambda bits: np.packbits([int(b) for b in bits + "1" * (-len(bits) % 8)]).astype(np.uint8).tobytes().replace(b"\xff", b"\xff\x00")
+    units, mark = [(y, x) for y in range(0, full.shape[0], unit) for x in range(0, full.shape[1], unit)], 0
+    for k, (y, x) in enumerate(units):
+        if restart and k and k % restart == 0:
+            data += close(bits) + bytes([0xFF, 0xD0 + mark % 8])
+            bits, before, mark = "", {}, mark + 1
+        for dy in range(0, unit, 8):
+            for dx in range(0, unit, 8):
+                kept = np.rint(c @ full[y + dy : y + dy + 8, x + dx : x + dx + 8] @ c.T / table.reshape(8, 8)).astype(int)
+                bits += block(kept.ravel(), 1)
+        for name, _ in parts[1:]:
+            bits += block(np.zeros(64, dtype=int), name)
+    return out + data + close(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("shape", "chroma", "restart"), [((24, 16), False, 0), ((21, 35), True, 0), ((33, 18), False, 2), ((40, 40), True, 1)])
+def test_jpeg(spark, shape, chroma, restart):
+    from attestor.sources import jpeg
+
+    image = picture(48, 2)[: shape[0], : shape[1]]
+    for q in (30, 60, 95):
+        content = jpeg_bytes(image, q, chroma, restart)
+        unit = 16 if chroma else 8
+        padded = np.pad(image, ((0, -shape[0] % unit), (0, -shape[1] % unit)), mode="edge")
+        assert np.array_equal(assets.decode_gray(content), kernels.recompress(padded, q)[: shape[0], : shape[1]])
+        assert jpeg.quality(content) == pytest.approx(q, abs=1.5)
+    rows = spark.createDataFrame([(bytearray(content),), (bytearray(b"no image"),), (None,)], "content binary")
+    found = [r[0] for r in rows.select(jpeg.quality_of("content")).collect()]
+    assert found == [jpeg.quality(content), None, None] and math.isnan(jpeg.quality(b"no image"))
+    with pytest.raises(ValueError, match="sequential"):
+        assets.decode_gray(content.replace(b"\xff\xc0", b"\xff\xc2", 1))
+
+
+def test_png_filters_and_gray_maxima():
+    """All five filters, by the format's own formulas, byte by byte; gray maxima other than 255."""
+    rng = np.random.default_rng(3)
+    for step in (1, 3):
+        above, line = (rng.integers(0, 256, (11, step)).astype(np.uint8) for _ in range(2))
+        for kind in range(5):
+            left = corner = [0] * step
+            for x, row in enumerate(assets._unfilter(kind, line, above).tolist()):
+                for k in range(step):
+                    a, b, c = left[k], int(above[x, k]), corner[k]
+                    p = a + b - c
+                    paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                    assert row[k] == (int(line[x, k]) + (0, a, b, (a + b) // 2, paeth)[kind]) % 256
+                left, corner = row, above[x].tolist()
+    assert assets.decode_gray(b"P5\n3 1\n15\n" + bytes([0, 5, 15])).tolist() == [[0, 85, 255]]
+
+
+def test_fetch_and_verified_files(tmp_path, monkeypatch):
+    import hashlib
+    import io
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    url, digest, folder = f"file://{tmp_path}/a.bin", hashlib.sha256(b"abc").hexdigest(), tmp_path / "to"
+    folder.mkdir()
+    path = assets.ensure_file(url, digest, str(folder))
+    monkeypatch.setattr(assets, "fetch", lambda *_: pytest.fail("fetched again"))
+    assert assets.ensure_file(url, digest, str(folder)) == path and (folder / "a.bin.verified").read_text() == digest
+    with pytest.raises(assets.ChecksumMismatchError):
+        assets.ensure_file(url, "0" * 64, str(folder))
+    assert not (folder / "a.bin").exists()
+    monkeypatch.undo()
+
+    class Short(io.BytesIO):
+        headers = {"Content-Length": "9"}
+
+    monkeypatch.setattr(assets.urllib.request, "urlopen", lambda _: Short(b"abc"))
+    with pytest.raises(assets.TruncatedDownloadError):
+        assets.fetch("http://x/b.bin", str(folder / "b.bin"))
+    assert sorted(p.name for p in folder.iterdir()) == ["a.bin.verified"]
+
+
+def test_only_the_harness_reads_the_test_split():
+    """Static scan: nothing else makes a token or asks for the test split."""
+    from pathlib import Path
+
+    package = Path(assets.__file__).parents[1]
+    for path in package.rglob("*.py"):
+        text = path.read_text()
+        if path.name not in ("harness.py", "store.py"):
+            assert "HarnessToken" not in text and not re.search(r"load_split\([^)]*[\"']test[\"']", text), path
+
+
+def test_last_answers_are_one_a_key(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, "x"), ("b", 1, "x")], "sha256 string, n int, label string")
+    assert sorted(map(tuple, verdicts.last_answers(rows, "n").collect())) == [("a", 2, "z"), ("b", 1, "x")]
 
 
 def test_stages_from_files(spark, tmp_path):
