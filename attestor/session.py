@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+#: Environment of the Python workers: their allocators give freed memory back, since a worker lives from task to task.
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_MMAP_THRESHOLD_": str(4 << 20)}
 
 
 def build_session(app: str = "attestor", master: str | None = None, **conf) -> SparkSession:
@@ -21,13 +25,20 @@ def build_session(app: str = "attestor", master: str | None = None, **conf) -> S
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Python workers can import the package; a checkpoint folder is set where the cluster names none."""
+    """Python workers can import the package; the checkpoint folder is the one that the cluster names.
+
+    Only a local session without ``spark.checkpoint.dir`` (a test, a laptop) gets a folder of its own;
+    on a cluster, whose machines share no temporary folder, its absence is an error.
+    """
     sc = spark.sparkContext
+    for name, value in WORKERS.items():
+        sc.environment.setdefault(name, os.environ.get(name, value))
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestor-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestor-checkpoint-"))
     return spark
