@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder that holds the package; Python workers must be able to import it.
-ROOT = str(Path(__file__).resolve().parents[2])
+from attestor.session import prepare as prepare_session
 
 #: Rows and bytes that a Python worker gets at once, at most: whole texts can be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -20,25 +15,12 @@ BROADCAST_FILES = 20_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and name a checkpoint folder where none is named.
-
-    A cluster names its shared folder in ``spark.checkpoint.dir``; only a local session without that
-    setting (a test, a laptop) gets a folder of its own, and a cluster without it is an error.
-    """
-    sc = spark.sparkContext
+    """The engine's settings for workers and checkpoints, and batches of bounded size."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
         if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
             spark.conf.set(name, str(most))
-    have = sc.environment.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attestor-checkpoint-"))
-    return spark
+    return prepare_session(spark)
 
 
 def unused(df: DataFrame, name: str) -> str:
