@@ -39,7 +39,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: sequence_id = (round * 2^24 + packer) * SPAN + number of the window.
 SPAN, PACKERS = 1 << 33, 1 << 24
 #: Packers whose open windows meet in one of the next round; windows that a packer holds open, at most.
-FAN_IN, MOST_OPEN = 16, 4096
+FAN_IN, MOST_OPEN = 8, 4096
 
 #: A piece: document, place of its first id, ids, ids of the document.
 Piece = tuple[int, int, np.ndarray, int]
@@ -160,7 +160,7 @@ def _table(kind: str) -> str:
 
 
 class _Writer:
-    """Rows of windows, in frames of some thousand."""
+    """Rows of windows, in frames of some hundred."""
 
     def __init__(self, kind: str, round_: int):
         self.names, self.round, self.rows = [c.split()[0] for c in _table(kind).split(", ")], round_, []
@@ -170,7 +170,7 @@ class _Writer:
         for place, (doc, start, ids, total) in enumerate(pieces):
             self.rows.append((doc, start, len(ids), total, -1 if open_ else sequence, offset, zlib.crc32(ids.astype("<u4").tobytes()), ids, recut, open_, packer, number, place))
             offset += len(ids)
-        if len(self.rows) >= 2000:
+        if len(self.rows) >= 500:
             yield from self.flush()
 
     def flush(self) -> Iterator[pd.DataFrame]:
