@@ -9,9 +9,11 @@ Two documents are linked if the Jaccard similarity of their five-word shingle se
 3. Each class also has BANDS keys, each of BAND_ROWS minimum hashes. Classes at similarity s share a key
    with probability 1 - (1 - s^4)^16: 0.9998 at 0.8, more above.
 4. Classes that share a key are compared by their whole sets. A key's classes meet pivots first (another
-   one for each key and round), which makes no pairs within a group; classes that links have joined are
+   one in each round), which makes no pairs within a group; classes that links have joined are
    not compared again. What PIVOT_ROUNDS leave apart is compared pair by pair, so that no pair of a key is
-   left undecided: N classes that share a key and are *not* alike still make up to N^2 / 2 pairs.
+   left undecided. Before sets are compared, their sizes and marks are: a set marks one of 256 bits for
+   each member, so a bit that only one of two sets has is a member that the other lacks, which bounds
+   what they can share. Only pairs that may still be alike leave the join.
 
 Sets are of 40-bit hashes. Only classes that meet another one have their sets written.
 """
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.bitset import bitset, only_possible
@@ -35,6 +37,8 @@ from attestor.llm.sketch import distinct_hashes, shingle_hashes, shingles
 LEAST = 0.8
 BANDS, BAND_ROWS = 16, 4
 PIVOT_ROUNDS = 3
+#: Bits that a set's members mark, as words of 64.
+_MARKS = ["m0", "m1", "m2", "m3"]
 _RNG = np.random.default_rng(31)
 _ADD, _TIMES = (_RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -65,8 +69,22 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """The bits that the members of a set of hashes mark."""
+    marked = np.zeros(64 * len(_MARKS), dtype=bool)
+    marked[(hashes % np.uint64(len(marked))).astype(np.int64)] = True
+    return np.packbits(marked, bitorder="little").view("<i8")
+
+
+def _may_be_alike(least: float) -> Column:
+    """Can the sets (n, marks) and (o_n, o_marks) have the similarity? A bound: false only if they cannot."""
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}{m}").bitwiseAND(F.bitwise_not(F.col(f"{b}{m}")))) for m in _MARKS[1:]), F.bit_count(F.col(f"{a}{_MARKS[0]}").bitwiseAND(F.bitwise_not(F.col(f"{b}{_MARKS[0]}")))))
+    shared = F.least(F.col("n") - lacks("", "o_"), F.col("o_n") - lacks("o_", ""))
+    return shared * F.lit(1 + least) >= (F.col("n") + F.col("o_n")) * F.lit(least) - F.lit(1e-6)
+
+
 def _classes(rows: DataFrame) -> DataFrame:
-    """(id, set1, set2, n, fp, bands) of (id, text)."""
+    """(id, set1, set2, n, fp, bands, marks) of (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,9 +92,9 @@ def _classes(rows: DataFrame) -> DataFrame:
             sets = [distinct_hashes(h) for h in hashes]
             fps = np.array([majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
             digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]).reshape(-1, 2)
-            yield pd.DataFrame({"id": batch["id"], "set1": digests[:, 0], "set2": digests[:, 1], "n": [len(s) for s in sets], "fp": fps, "bands": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({"id": batch["id"], "set1": digests[:, 0], "set2": digests[:, 1], "n": [len(s) for s in sets], "fp": fps, "bands": [band_keys(s) for s in sets]} | dict(zip(_MARKS, np.array([marks(s) for s in sets]).reshape(-1, len(_MARKS)).T, strict=True)))
 
-    return rows.mapInPandas(run, "id long, set1 long, set2 long, n long, fp long, bands array<long>")
+    return rows.mapInPandas(run, "id long, set1 long, set2 long, n long, fp long, bands array<long>, " + ", ".join(f"{m} long" for m in _MARKS))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -101,10 +119,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(key, id, n) of keys that several classes hold."""
-    keys = classes.select("id", "n", F.explode("bands").alias("key"))
+    """(key, id, n, marks) of keys that several classes hold."""
+    keys = classes.select("id", "n", *_MARKS, F.explode("bands").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
-    return cut(only_possible(keys, F.col("key"), bitset(shared, F.col("key"))).join(shared, "key", "left_semi").select("key", "id", "n"))
+    return cut(only_possible(keys, F.col("key"), bitset(shared, F.col("key"))).join(shared, "key", "left_semi").select("key", "id", "n", *_MARKS))
 
 
 def _by_simhash(firsts: DataFrame) -> DataFrame:
@@ -119,27 +137,27 @@ def _by_simhash(firsts: DataFrame) -> DataFrame:
 def _joined(now: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the roots that the links give them."""
     roots = components(links).withColumnRenamed("node", "id").withColumnRenamed("root", "to")
-    return now.join(roots, "id", "left").select("key", "id", "n", F.coalesce("to", "id").alias("root"))
+    return now.join(roots, "id", "left").select("key", "id", "n", *_MARKS, F.coalesce("to", "id").alias("root"))
 
 
 def _links(members: DataFrame, sets: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """Links (u, v), spanning the components of all alike pairs that share a key or are ``known`` to be near."""
+    of = ["id", "n", *_MARKS, "root"]
     tested, links = known, cut(_alike(known, sets, least))
     now = _joined(members, links)
     for k in range(PIVOT_ROUNDS + 1):
         live = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        now = cut(now.join(live, "key", "left_semi").select("key", "id", "n", "root"))
+        now = cut(now.join(live, "key", "left_semi").select("key", "id", "n", *_MARKS, "root"))
         if now.isEmpty():
             break
         if k < PIVOT_ROUNDS:
-            order = F.xxhash64("key", "id", F.lit(k))
-            others = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "n", "root")).alias("o")).select("key", F.col("o.id").alias("o_id"), F.col("o.n").alias("o_n"), F.col("o.root").alias("o_root"))
+            order = F.xxhash64("id", F.lit(k))  # one order for all keys: classes that share several keys mostly meet one pivot
+            others = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), *of)).alias("o")).select("key", *[F.col(f"o.{c}").alias(f"o_{c}") for c in of])
             met = now.join(others, "key")
         else:
-            others = now.select("key", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("root").alias("o_root"))
+            others = now.select("key", *[F.col(c).alias(f"o_{c}") for c in of])
             met = now.join(others, "key").where("id < o_id")
-        fits = F.least("n", "o_n") >= F.lit(least) * F.greatest("n", "o_n")  # else the sizes alone keep them apart
-        met = met.where((F.col("root") != F.col("o_root")) & fits).select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct()
+        met = met.where((F.col("root") != F.col("o_root")) & _may_be_alike(least)).select(F.least("id", "o_id").alias("u"), F.greatest("id", "o_id").alias("v")).distinct()
         pairs = cut(met.join(tested, ["u", "v"], "left_anti"))
         links = links.unionByName(cut(_alike(pairs, sets, least)))
         if k < PIVOT_ROUNDS:
