@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from attestor.llm import ann, bpe_automaton, language, line_dedup, packing, quality, simhash, sketch, suffix_dedup
 from attestor.llm import queries as Q
+from attestor.llm import components as components_module
 from attestor.llm.components import components
 from attestor.llm.hilbert import hilbert_keys
 
@@ -266,6 +267,18 @@ def brute_repeats(texts, window=100):
     return out
 
 
+def test_components_of_any_size(spark, monkeypatch):
+    """One task and joins give the same roots, over chains, stars and loops."""
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(80)] + [(7, 7), (500, 499), (499, 500)]
+    links, found = spark.createDataFrame(pairs, "u long, v long"), []
+    for few in (10**6, 0):
+        monkeypatch.setattr(components_module, "FEW_LINKS", few)
+        found.append(sorted(map(tuple, components(links).collect())))
+    empty = components(spark.createDataFrame([], "u long, v long")).collect()
+    assert found[0] == found[1] and dict(found[0])[60] == 0 and dict(found[0])[130] == 100 and dict(found[0])[500] == 499 and not empty
+
+
 @pytest.mark.parametrize("hot", [256, 2])
 def test_repeats_equal_brute_force(spark, documents, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_ANCHOR", hot)
@@ -322,7 +335,9 @@ def planted(seed=0):
     return np.unique(np.concatenate([base, np.array(near + group, dtype=np.uint64)]))
 
 
-def test_vantage_point_links(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_vantage_point_links(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW_LINKS", few)
     points = planted()
     nodes = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
     truth = brute_components(points)
@@ -549,6 +564,27 @@ def test_pipeline_keeps_one_of_each_and_packs_all(spark, documents):
     assert all(library.decode(joined[i][:-1]) == texts[i] for i in range(30))
 
 
+def test_bound_by_marks_loses_nothing(spark):
+    """Pairs that the bound keeps apart are below the similarity; alike pairs pass it; most unlike pairs do not."""
+    from attestor.llm import near_documents as near
+
+    rng = np.random.default_rng(6)
+    pairs = []
+    for size in (1, 4, 30, 150, 900):
+        for share in (0.2, 0.6, 0.78, 0.8, 0.82, 0.95, 1.0):
+            for _ in range(10):
+                a = rng.choice(1 << 40, 2 * size, replace=False).astype(np.uint64)
+                b = np.unique(np.concatenate([a[: max(1, round(share * size))], a[size : size + rng.integers(0, 1 + size // 6)]]))
+                pairs.append((np.unique(a[:size]), b))
+    rows = [(k, len(a), *near.marks(a).tolist(), len(b), *near.marks(b).tolist()) for k, (a, b) in enumerate(pairs)]
+    names = ["k long", "n long", *[f"{m} long" for m in near._MARKS], "o_n long", *[f"o_{m} long" for m in near._MARKS]]
+    passed = {r["k"] for r in spark.createDataFrame(rows, ", ".join(names)).where(near._may_be_alike(0.8)).collect()}
+    like = [near.jaccard(a.tobytes(), b.tobytes()) for a, b in pairs]
+    assert all(k in passed for k, j in enumerate(like) if j >= 0.8)
+    low = [k for k, j in enumerate(like) if j < 0.5 and len(pairs[k][0]) <= 150]
+    assert sum(k in passed for k in low) < 0.05 * len(low)
+
+
 def test_pipeline_groups_copies_from_08_on(spark, documents):
     """Planted copies at 0.8 to 0.95 of their five-word shingles are one group, texts below are not."""
     import corpus_pipeline
