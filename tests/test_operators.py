@@ -49,6 +49,15 @@ def test_hashes_four_bits_apart_in_four_bands(spark):
     assert got["near_removed"] == 1 and got["input"] == got["output"] + 1
 
 
+@pytest.mark.parametrize(("max_bits", "intact"), [(4, 1), (4, 2), (4, 4), (0, 1), (2, 3), (4, None)])
+def test_near_hashes_of_any_block_choice_equal_all_pairs(spark, max_bits, intact):
+    hashes = sorted({int(r[3], 16) - (1 << 63) for r in random_assets(250)})
+    got = [(r["hx"], r["hy"]) for r in dedupe._near_hashes(spark.createDataFrame([(h,) for h in hashes] + [(None,)], "h long"), max_bits, intact).collect()]
+    want = [(x, y) for i, x in enumerate(hashes) for y in hashes[i + 1 :] if ((x ^ y) & (1 << 64) - 1).bit_count() <= max_bits]
+    assert sorted(got) == want  # each pair once
+    assert [dedupe._intact_blocks(n, 4) for n in (0, 10**3, 10**6, 10**9)] == sorted(dedupe._intact_blocks(n, 4) for n in (0, 10**3, 10**6, 10**9))
+
+
 def test_near_dedupe_and_clusters_equal_plain_loops(spark):
     rows = random_assets(300)
     frame = asset_rows(spark, rows)
