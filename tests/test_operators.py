@@ -58,6 +58,22 @@ def test_near_hashes_of_any_block_choice_equal_all_pairs(spark, max_bits, intact
     assert [dedupe._intact_blocks(n, 4) for n in (0, 10**3, 10**6, 10**9)] == sorted(dedupe._intact_blocks(n, 4) for n in (0, 10**3, 10**6, 10**9))
 
 
+def test_near_dedupe_of_hot_hashes_equals_plain_loop(spark):
+    rng = random.Random(8)
+    hashes = [0, 1, 3, (1 << 40) - 1, 0x1F]
+    rows = [(f"{rng.getrandbits(64):016x}", rng.choice(["authentic", "manipulated"]), f"s{rng.randrange(9)}", f"{rng.choice(hashes):016x}", f"p{k}", "none") for k in range(150)]
+    kept = []
+    for r in sorted(rows):
+        if not any(k[1] == r[1] and k[2] != r[2] and (int(k[3], 16) ^ int(r[3], 16)).bit_count() <= 4 for k in kept):
+            kept.append(r)
+    unknown = [("x1", None, "s1", "0" * 16, "q1", "none"), ("x2", "authentic", "s1", None, "q2", "none"), ("x3", "authentic", None, "0" * 16, "q3", "none")]
+    frame = spark.createDataFrame(rows + unknown, "sha256 string, label string, scene string, phash string, path string, manipulation string")
+    got = dedupe.near_dedupe(frame).collect()
+    assert len(got) == len(rows) + 3
+    assert {r["sha256"] for r in got if r["kept"]} == {k[0] for k in kept} | {"x1", "x2", "x3"}
+    assert len({r[2] for r in kept}) > 1 and dedupe.near_dedupe(frame.limit(0)).count() == 0
+
+
 def test_near_dedupe_and_clusters_equal_plain_loops(spark):
     rows = random_assets(300)
     frame = asset_rows(spark, rows)
