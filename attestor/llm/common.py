@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return prepare_session(spark)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: glibc keeps it otherwise, and a driver lives on."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores behind it as long as df has such a column."""
     taken = {c.lower() for c in df.columns}

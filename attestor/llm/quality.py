@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import prepare
+from attestor.llm.common import give_back, prepare
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most (those with the smallest hash of their id).
@@ -142,7 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, keep, bound: int = TRAINING_ROWS)
     chosen = chosen.orderBy(order, "doc_id", "y").limit(bound)  # at most `bound` rows: small enough to broadcast
     text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(text).collect()
-    return fit((r["text"], r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or "", r["y"])))
+    weights = fit((r["text"], r["y"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"] or "", r["y"])))
+    del rows
+    give_back()
+    return weights
 
 
 def scorer(spark, weights: np.ndarray | None):
