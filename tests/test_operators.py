@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from attestor import schemas, session
 from attestor.functions import scalars as fn
 from attestor.operators import calibration, classifier, dedupe, features, kernels, metrics, prompt, splits, temporal, verdicts
-from attestor.plans import harness, report
+from attestor.plans import harness, queries, report
 from attestor.sources import assets, store
 from attestor.streaming.verdict_ingest import ingest
 
@@ -130,6 +130,30 @@ def test_near_edges_deal_out_assets_not_pairs(spark):
     assert sorted(got) == [(a, b) for i, a in enumerate(by) for b in by[i + 1 :] if len(label[a] | label[b]) > 1]
 
 
+def test_near_edges_query_deals_out_no_texts(spark, tmp_path):
+    import hashlib
+
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.getrandbits(64):016x}" for _ in range(500)) for _ in range(100)]
+    docs = [(2 * k + j, text + j * " again", "en", "src0", len(text) + 6 * j) for k, text in enumerate(texts) for j in (0, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], d[0] % 2, 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before, most = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with labels that are too many to broadcast
+    try:
+        got = {(r["a"], r["b"]) for r in queries.QUERIES["j2_near_edges"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    sha = {d[0]: hashlib.sha256(d[1].encode()).hexdigest() for d in docs}
+    assert len({tuple(sorted((sha[2 * k], sha[2 * k + 1]))) for k in range(100)} & got) > 50
+    assert 0 < sum(n for k, n in written().items() if k not in before) < sum(len(d[1]) for d in docs) / 4
+
+
 def test_splits_follow_the_greedy_order(spark):
     frame = asset_rows(spark, random_assets(400, 3))
     got = splits.assign_splits(frame).select("sha256", "cluster", "split", "manipulation").collect()
