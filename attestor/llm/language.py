@@ -5,12 +5,14 @@ every position with a distribution over the languages. The document's distributi
 all its positions. Training is plain numpy: cross-entropy of every position with the document's
 language, back-propagated through time, with Adam steps.
 
-Texts are read in *lanes*: many texts side by side, each from its first byte to its last. A text longer
-than LANE bytes takes several lanes, each of which is entered WARM bytes before its own first position
-and left as many behind its last, so that its states are those of the whole text but for what the
-network still remembers after so many bytes (the tests compare both). For training, the lanes of the
-sampled texts are cut into blocks of BLOCK steps, each of which starts from the states that the network
-has when it comes to it (read anew in every epoch); gradients go back through a block.
+Documents are predicted by the recurrence over the whole text, however long it is: many texts side by
+side, sorted by length, each from its first byte to its last and both directions in one step. The
+network can hold a state over thousands of bytes, so no text is begun in its midst.
+
+Training reads *lanes*: a text longer than LANE bytes takes several lanes, each of which is entered
+WARM bytes before its own first position and left as many behind its last. The lanes are cut into blocks
+of BLOCK steps, each of which starts from the states that the network has when it comes to it (read anew
+in every epoch); gradients go back through a block.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import prepare, unused
 
-#: Bytes of a lane, bytes that it reads before and behind them, and numbers that a group of lanes yields in a direction, about.
+#: In training: bytes of a lane, bytes that it reads before and behind them, and numbers that a group of lanes yields in a direction, about.
 LANE, WARM, GROUP = 2048, 256, 1 << 23
+#: In prediction: numbers that texts read together yield in a direction, at most (longer texts are read in parts), and how many texts that are.
+NUMBERS, TOGETHER = 1 << 24, 384
+#: Bytes whose rows of the byte tables are fetched at once, and characters of texts that a worker gathers before it reads them together, about.
+STRETCH, GATHERED = 1024, 32 << 20
 #: Steps of a block in training, and units of each direction.
 BLOCK, HIDDEN = 64, 16
 #: Labelled documents of each language that the network is fitted on, at most (whole texts).
@@ -73,8 +79,8 @@ class Gru:
             out[t] = state = new
         return out, kept
 
-    def read(self, steps: np.ndarray, active: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        """States (times weights, if given) after each step of lanes that end one by one: (length, lanes, ...).
+    def read(self, steps: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """States after each step of lanes that end one by one: (length, lanes, units).
 
         The same as forward(), with the three gates apart, so that each of them is one run of memory; a
         sigmoid is taken as (1 + tanh(x / 2)) / 2.
@@ -82,7 +88,7 @@ class Gru:
         H, half = self.h, np.float32(0.5)
         (xz, xr, xn), (uz, ur, un) = ([np.ascontiguousarray(m[:, k * H : (k + 1) * H] * f) for k, f in enumerate(factors)] for m, factors in ((self.p["x"], (half, half, 1)), (self.p["u"], (half, half, half))))
         lanes_ = steps.shape[1]
-        out = np.empty((*steps.shape, H if weights is None else weights.shape[1]), dtype=np.float32)
+        out = np.empty((*steps.shape, H), dtype=np.float32)
         buffers = [np.empty((lanes_, H), dtype=np.float32) for _ in range(4)]
         state = np.zeros((lanes_, H), dtype=np.float32)
         for t, n in enumerate(active.tolist()):
@@ -101,7 +107,7 @@ class Gru:
             z *= half
             state *= z
             state += new
-            out[t, :n] = state if weights is None else state @ weights
+            out[t, :n] = state
         return out
 
     def backward(self, steps: np.ndarray, kept: list, grad: np.ndarray) -> dict[str, np.ndarray]:
@@ -177,15 +183,132 @@ class Network:
 
     def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
         """Mean distribution over all positions of each text (an empty text: zeros)."""
-        H, w, sums = self.ahead.h, self.out["w"], np.zeros((len(texts), len(self.languages)))
-        for group in lanes(texts, len(self.languages)):
-            ahead = self.ahead.read(group.steps(1), group.active, w[:H]).reshape(-1, w.shape[1])
-            back = self.back.read(group.steps(-1), group.active, w[H:]).reshape(-1, w.shape[1])
-            at, mirrored, first = group.own_positions()
-            p = _softmax(ahead[at] + back[mirrored] + self.out["b"])
-            np.add.at(sums, group.text, np.add.reduceat(p, first, axis=0, dtype=np.float64))
+        sums, most = np.zeros((len(texts), len(self.languages))), max(1, NUMBERS // len(self.languages))
+        of, parts, starts = [], [], []
+        for i, t in enumerate(texts):
+            ends = range(most, len(t), most)  # of the parts of a text whose numbers would be too many at once, but for the last
+            states = self._states_between(t, ends)
+            for k, a in enumerate(range(0, len(t), most)):
+                of.append(i)
+                parts.append(t[a : a + most])
+                starts.append(states[:, k])
+        order, at = sorted(range(len(parts)), key=lambda k: -len(parts[k])), 0
+        while at < len(order):
+            size, end = 0, at
+            while end < len(order) and end - at < TOGETHER and (end == at or size + len(parts[order[end]]) <= most):
+                size, end = size + len(parts[order[end]]), end + 1
+            rows, at = order[at:end], end
+            np.add.at(sums, [of[k] for k in rows], self._sums([parts[k] for k in rows], np.stack([starts[k] for k in rows], axis=1)))
         return sums / np.maximum(1, [len(t) for t in texts])[:, None]
 
+    def _states_between(self, text: bytes, ends: range) -> np.ndarray:
+        """States (2, parts, units) that the two directions enter each part with, if a text's parts end at ``ends`` and at its end."""
+        states = np.zeros((2, len(ends) + 1, self.ahead.h), dtype=np.float32)
+        if ends:
+            pair, done, state = Pair(self.ahead, self.back, self.out["w"]), 0, np.zeros((2, 1, self.ahead.h), dtype=np.float32)
+            for step in sorted({*ends, *(len(text) - e for e in ends)}):
+                pair.run(Together([text[done:step]], [text[len(text) - step : len(text) - done]]), state)
+                done = step
+                if step in ends:
+                    states[0, ends.index(step) + 1] = state[0, 0]
+                if len(text) - step in ends:
+                    states[1, ends.index(len(text) - step)] = state[1, 0]
+        return states
+
+    def _sums(self, texts: list[bytes], states: np.ndarray) -> np.ndarray:
+        """Sums of the distributions at all positions of texts, longest first, that the directions enter with the given states."""
+        together = Together(texts, texts)
+        logits = np.empty((2, together.first[-1], len(self.languages)), dtype=np.float32)
+        Pair(self.ahead, self.back, self.out["w"]).run(together, states, logits)
+        sums = np.zeros((len(self.languages), len(texts)))
+        for step, end in together.stretches(1 << 15):
+            at, mirrored, lane = together.positions(step, end)
+            p = np.ascontiguousarray((logits[0, at] + logits[1].take(mirrored, axis=0)).T)
+            p += self.out["b"][:, None]
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
+            for total, x in zip(sums, p, strict=True):
+                total += np.bincount(lane, x, len(texts))
+        return sums.T
+
+
+class Together:
+    """Bytes of some texts, longest first, that are read side by side from the first of ``ahead`` and from the last of ``back``.
+
+    All numbers lie step by step, and at each step for those texts only that have a byte there.
+    """
+
+    def __init__(self, ahead: list[bytes], back: list[bytes]):
+        self.length = np.array([len(t) for t in ahead])
+        #: texts that have a byte at each step, and where a step's bytes begin
+        self.active = np.searchsorted(-self.length, -np.arange(1, self.length[0] + 1), side="right")
+        self.first = np.concatenate([[0], np.cumsum(self.active)])
+        self.data = np.empty((2, self.first[-1]), dtype=np.uint8)
+        for lane, (a, b) in enumerate(zip(ahead, back, strict=True)):
+            at = self.first[: len(a)] + lane
+            self.data[0, at] = np.frombuffer(a, dtype=np.uint8)
+            self.data[1, at] = np.frombuffer(b, dtype=np.uint8)[::-1]
+
+    def stretches(self, size: int, even: bool = False) -> Iterator[tuple[int, int]]:
+        """(first step, end) of stretches of at most so many bytes (or of one step); even: with equally many texts at all steps."""
+        step = 0
+        while step < len(self.active):
+            end = max(step + 1, int(np.searchsorted(self.first, self.first[step] + size, side="right")) - 1)
+            if even:
+                end = min(end, int(self.length[self.active[step] - 1]))
+            yield step, end
+            step = end
+
+    def positions(self, step: int, end: int) -> tuple[slice, np.ndarray, np.ndarray]:
+        """Places of the bytes of some steps, read ahead; of the same bytes read back; and their texts."""
+        at = slice(self.first[step], self.first[end])
+        steps = np.repeat(np.arange(step, end), self.active[step:end])
+        lane = np.arange(at.start, at.stop) - self.first[steps]
+        return at, self.first[self.length[lane] - 1 - steps] + lane, lane
+
+
+class Pair:
+    """Both directions at once, over texts side by side: the recurrence of Gru.forward().
+
+    Each gate of both directions is one run of memory; a sigmoid is taken as (1 + tanh(x / 2)) / 2.
+    """
+
+    def __init__(self, ahead: Gru, back: Gru, out: np.ndarray):
+        H = self.h = ahead.h
+        gates = lambda name, factors: np.stack([[g.p[name][:256, k * H : (k + 1) * H] * np.float32(f) for g in (ahead, back)] for k, f in enumerate(factors)])
+        self.x, self.u = gates("x", (0.5, 0.5, 1)).reshape(-1, H), gates("u", (0.5, 0.5, 0.5))
+        self.w = np.ascontiguousarray(out.reshape(2, H, -1))
+
+    def run(self, texts: Together, states: np.ndarray, logits: np.ndarray | None = None) -> None:
+        """Read all texts; states (2, texts, units) become those after their last steps; logits gets each direction's share at every step."""
+        H, half, one, of_gate = self.h, np.float32(0.5), np.float32(1), 256 * np.arange(6).reshape(3, 2, 1)
+        matmul, tanh, add, multiply, subtract, n = np.matmul, np.tanh, np.add, np.multiply, np.subtract, 0
+        for begin, end in texts.stretches(STRETCH, even=True):
+            if n != (n := int(texts.active[begin])):
+                if begin:
+                    states[:, : state.shape[1]] = state
+                state, gates = states[:, :n].copy(), np.empty((3, 2, n, H), dtype=np.float32)
+                entered, zr, (z, r, new) = state[None], gates[:2], gates
+            at = int(texts.first[begin])
+            data = texts.data[:, at : texts.first[end]].reshape(2, -1, 1, n).transpose(1, 2, 0, 3)
+            for x in self.x.take(data + of_gate, axis=0):
+                matmul(entered, self.u, gates)
+                add(zr, x[:2], zr)
+                tanh(zr, zr)
+                add(zr, one, zr)
+                multiply(new, r, new)
+                add(new, x[2], new)
+                tanh(new, new)
+                subtract(state, new, state)
+                multiply(z, half, z)
+                multiply(state, z, state)
+                add(state, new, state)
+                if logits is not None:
+                    matmul(state, self.w, logits[:, at : at + n])
+                    at += n
+        states[:, :n] = state
+
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """Distributions along the last axis, in place."""
@@ -212,14 +335,6 @@ class Lanes:
             row[: len(data)] = np.frombuffer(data, dtype=np.uint8)[::direction]
         return np.ascontiguousarray(out.T)
 
-    def own_positions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the lanes' own positions among the steps of both directions, lane by lane, and where each lane's begin."""
-        count, n = self.end - self.begin, len(self.parts)
-        first = np.cumsum(count) - count
-        lane = np.repeat(np.arange(n), count)
-        at = np.arange(len(lane)) - np.repeat(first - self.begin, count)
-        return at * n + lane, (np.repeat(self.length, count) - 1 - at) * n + lane, first
-
     def _cuts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(lane, first byte, end) of the blocks of the lanes' own positions."""
         count = -(-(self.end - self.begin) // BLOCK)
@@ -289,6 +404,19 @@ def train(docs: DataFrame, keep, bound: int = TRAINING_ROWS) -> Network | None:
     return fit((r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"], r["lang"])))
 
 
+def _gathered(batches: Iterator[pd.Series]) -> Iterator[list[pd.Series]]:
+    """Batches by so many that their texts have GATHERED characters (the last: fewer): the longest text takes as many steps alone as beside others."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += sum(len(t) for t in batch if t)
+        if size >= GATHERED:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def predict_documents(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with two more columns: lang_pred, and score (the pooled probability).
 
@@ -300,17 +428,17 @@ def predict_documents(docs: DataFrame, net: Network | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net = shared.value
-        for batch in texts:
-            langs, scores = np.full(len(batch), UNDETERMINED, dtype=object), np.zeros(len(batch))
-            rows = [i for i, t in enumerate(batch) if net is not None and t and _LETTER.search(t)]
-            if rows:
-                p = net.document_probabilities([batch.iloc[i].encode("utf-8", "replace") for i in rows])
+        for some in _gathered(batches):
+            texts = list(dict.fromkeys(t for batch in some for t in batch if net is not None and t and _LETTER.search(t)))
+            known = {}
+            if texts:
+                p = net.document_probabilities([t.encode("utf-8", "replace") for t in texts])
                 best = p.argmax(axis=1)
-                langs[rows] = np.array(net.languages, dtype=object)[best]
-                scores[rows] = np.clip(p[np.arange(len(rows)), best], 0, 1)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+                known = dict(zip(texts, zip([net.languages[k] for k in best], np.clip(p.max(axis=1), 0, 1), strict=True), strict=True))
+            for batch in some:
+                yield pd.DataFrame([known.get(t, (UNDETERMINED, 0.0)) for t in batch], columns=["lang_pred", "score"])
 
     told = unused(docs, "__told")
     return docs.withColumn(told, predict("text")).withColumns({"lang_pred": F.col(f"{told}.lang_pred"), "score": F.col(f"{told}.score")}).drop(told)

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -455,6 +456,39 @@ def test_language_on_held_out_rows():
     assert max(d for d, t in zip(off, texts, strict=True) if len(t) <= language.LANE) < 1e-4 and off.max() < 0.01  # several lanes: all but what is remembered longer
 
 
+def latching_network():
+    """A network whose units hold what the first and last bytes (A or B) have set: other bytes hardly move them."""
+    rng, net = np.random.default_rng(5), language.Network(["a", "b", "c"])
+    H = net.ahead.h
+    for gru in (net.ahead, net.back):
+        gru.p["x"] = rng.normal(0, 0.3, gru.p["x"].shape).astype(np.float32)
+        gru.p["u"][:, :H] *= 0.1
+        gru.p["x"][:, :H] += 8
+        gru.p["x"][[65, 66], :H] -= 16
+        gru.p["x"][65, 2 * H :], gru.p["x"][66, 2 * H :] = 2, -2
+    return net
+
+
+@pytest.mark.parametrize("numbers, together", [(1 << 24, 384), (1 << 24, 2), (3 * 700, 3)])
+def test_long_texts_are_read_whole(monkeypatch, numbers, together):
+    """What stands first and last in a text counts at every position, in any group of texts, and if a text is read in parts."""
+    monkeypatch.setattr(language, "NUMBERS", numbers)
+    monkeypatch.setattr(language, "TOGETHER", together)
+    net, rng = latching_network(), np.random.default_rng(6)
+    middle = bytes(rng.integers(97, 123, 6000).tolist())
+    texts = [b"", b"A" + middle + b"B", b"x", b"B" + middle + b"A", middle[:699], middle[:700], middle[:701], b"A" + middle[:3000], b"B" + middle[:3000], middle[:1400]]
+    p = net.document_probabilities(texts)
+    assert p[0].tolist() == [0, 0, 0] and np.abs(p[1:] - np.array([plain_bigru(net, t) for t in texts[1:]])).max() < 1e-4
+    assert np.abs(p[7] - p[8]).max() > 0.1
+
+
+def test_batches_gathered_for_prediction(monkeypatch):
+    monkeypatch.setattr(language, "GATHERED", 10)
+    batches = [pd.Series(x, dtype=object) for x in (["abc", None], [], ["", "x" * 20], ["a"], ["abcdefghi"], [None])]
+    got = list(language._gathered(iter(batches)))
+    assert [[list(b) for b in some] for some in got] == [[["abc", None], [], ["", "x" * 20]], [["a"], ["abcdefghi"]], [[None]]]
+
+
 def plain_bigru(net, text):
     """Mean distribution over a text's positions, one step after another."""
 
